@@ -237,6 +237,57 @@ VIEWS: dict[str, str] = {
             SELECT (conv_id * 64 + turn) * 2 + 1 AS msg_id, text, CASE WHEN turn = 0 THEN 'scam' ELSE 'legit' END AS label FROM @conversations@
         ) AS m
     """,
+    # one page of two certificate rows per certificate; some timestamps are broken
+    "ct_pages": """
+        SELECT tld, source, '{"rows":[{"id":"' || CAST(l_orderkey AS VARCHAR(20)) || '","match":"' || raw_name || '","not_before":"'
+               || CASE WHEN l_suppkey % 11 = 0 THEN 'no-date' ELSE [iso:not_before] || 'Z' END
+               || '","san_count":2},{"id":"b","match":"' || CASE WHEN l_suppkey % 13 = 0 THEN '*.' ELSE 'alt.' || zone END || '","not_before":"'
+               || [iso:seen_at] || '+00:00"}],"has_next":false}' AS payload
+        FROM cert
+    """,
+    "san_records": """
+        SELECT l_orderkey AS cert_id, raw_name || chr(10) || '*.' || upper(zone) || chr(10) || ' ' || chr(10) || 'mx.' || zone || '.' AS name_value FROM cert
+    """,
+    "rdap_json": """
+        SELECT CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) AS answer_id,
+               '{"ldhName":"' || upper(zone) || '","status":["active"," client hold ",""],"events":[{"eventAction":"last changed","eventDate":"1990-01-01T00:00:00Z"}'
+               || CASE WHEN l_partkey % 5 = 0 THEN '' ELSE ',{"eventAction":"registration","eventDate":"' || [iso:not_before] || 'Z"},{"eventAction":"registration","eventDate":"1980-01-01T00:00:00Z"}' END
+               || '],"nameservers":[{"ldhName":"NS1.' || zone || '."},{"handle":"ns2.' || zone || '"},{"ldhName":"ns1.' || zone || '"}],"entities":[{"roles":["abuse"],"handle":"NO"},{"roles":["'
+               || CASE WHEN l_suppkey % 7 = 0 THEN 'technical' ELSE 'Registrar' END || '"]'
+               || CASE l_suppkey % 3 WHEN 0 THEN ',"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text"," Reg ' || CAST(l_suppkey AS VARCHAR(20)) || ' Ltd "]]]' ELSE '' END
+               || CASE l_suppkey % 3 WHEN 2 THEN ',"publicIds":[{"type":"id","identifier":"PID' || CAST(l_suppkey AS VARCHAR(20)) || '"}]' ELSE ',"handle":"H' || CAST(l_suppkey AS VARCHAR(20)) || '"' END
+               || '}]}' AS payload, zone, l_suppkey, l_partkey, not_before
+        FROM cert WHERE l_linenumber > 0
+    """,
+    "bootstrap_docs": """
+        SELECT s_suppkey AS doc_seq, '{"version":"1.0","services":[[["T' || CAST(s_nationkey AS VARCHAR(20)) || '",".u' || CAST(s_suppkey % 7 AS VARCHAR(20)) || '"],["https://r' || CAST(s_suppkey AS VARCHAR(20)) || '.test'
+               || CASE WHEN s_suppkey % 2 = 0 THEN '/' ELSE '' END || '","https://second.test/"]],[["empty' || CAST(s_nationkey AS VARCHAR(20)) || '"],[]]]}' AS payload,
+               s_nationkey
+        FROM @supplier@
+    """,
+    "blacklist_json": """
+        SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{"query_status":"ok","urls":[{"id":"' || CAST(c_custkey AS VARCHAR(20)) || '"}' || CASE WHEN c_custkey % 8 = 0 THEN ',{"id":"b"}' ELSE '' END || ']}'
+               WHEN 1 THEN '{"query_status":"no_results"}' WHEN 2 THEN '{"query_status":"invalid_host"}' ELSE 'not json' END AS payload
+        FROM @customer@
+    """,
+    "snapshot_docs": """
+        SELECT '{"daily_stats":[{"date":"' || [ymd:o_orderdate] || '","domains_flagged":' || CAST(o_custkey % 50 AS VARCHAR(20)) || '}],"collector_runs":[{"id":' || CAST(o_orderkey AS VARCHAR(20)) || ',"status":"ok"},{"id":1,"status":"'
+               || CASE WHEN o_custkey % 2 = 0 THEN 'ok' ELSE 'failed' END || '"}]}' AS payload, o_custkey, o_orderdate
+        FROM @orders@
+    """,
+    # observed responses: a shared landing chain behind every third order, loops, dead ends
+    "responses": """
+        SELECT 'https://r' || CAST(o_orderkey AS VARCHAR(20)) || '.test/a' AS url, CASE o_orderkey % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 301 WHEN 3 THEN 302 WHEN 4 THEN 307 ELSE 308 END AS status_code,
+               CASE o_orderkey % 6 WHEN 2 THEN '/b/' WHEN 3 THEN 'https://r' || CAST(o_orderkey + 1 AS VARCHAR(20)) || '.test/a' WHEN 4 THEN '//r' || CAST(o_orderkey + 1 AS VARCHAR(20)) || '.test/a' WHEN 5 THEN 'c?x=1' END AS location
+        FROM @orders@
+        UNION ALL
+        SELECT 'https://r' || CAST(o_orderkey AS VARCHAR(20)) || '.test/b/' AS url, CASE WHEN o_orderkey % 4 = 2 THEN 302 ELSE 303 END AS status_code,
+               CASE WHEN o_orderkey % 4 = 2 THEN 'https://R' || CAST(o_orderkey AS VARCHAR(20)) || '.test/A/' ELSE 'https://r' || CAST(o_orderkey + 1 AS VARCHAR(20)) || '.test/a' END AS location
+        FROM @orders@ WHERE o_orderkey % 6 = 2
+        UNION ALL
+        SELECT 'https://r' || CAST(o_orderkey AS VARCHAR(20)) || '.test/c?x=1' AS url, CASE WHEN o_orderkey % 12 = 5 THEN 301 ELSE 503 END AS status_code, NULL AS location
+        FROM @orders@ WHERE o_orderkey % 6 = 5
+    """,
 }
 
 
