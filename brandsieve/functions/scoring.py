@@ -135,7 +135,7 @@ def domain_age_days(registration_date: Column, now: Column) -> Column:
     zoned = registration_date.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*(Z|[+-]\d{2}:?\d{2})$")
     at = F.when(zoned, F.try_to_timestamp(registration_date))
     days = F.floor((F.unix_micros(now) - F.unix_micros(at)) / F.lit(86_400_000_000))
-    return F.greatest(F.lit(0), days).cast("int")
+    return F.when(days >= 0, days).when(days < 0, 0).cast("int")  # greatest() would turn null into 0
 
 
 def backlog_score(similarity: Column, risky: Column) -> Column:

@@ -326,6 +326,6 @@ def check_sql(body: str, ctes: dict[str, str] | None = None) -> str:
     """A DuckDB statement with the landing views it needs, and further CTEs, in front."""
     extra = ctes or {}
     everything = body + " ".join(extra.values())
-    parts = [f"{v} AS ({VIEWS[v]})" for v in _needed(everything)] + [f"{k} AS ({v})" for k, v in extra.items()]
+    parts = [f"{v} AS {'MATERIALIZED ' if v == 'ct_raw' else ''}({VIEWS[v]})" for v in _needed(everything)] + [f"{k} AS MATERIALIZED ({v})" for k, v in extra.items()]
     with_clause = f"WITH {', '.join(parts)} " if parts else ""
     return re.sub(r"@(\w+)@", r"\1", _expand(with_clause + body, "duckdb"))
