@@ -1,13 +1,15 @@
 """Landing views: the given tables reshaped into the engine's input tables.
 
 Each view is one SELECT that means the same in Spark SQL and in DuckDB; the few spellings that
-differ are placeholders. In Spark a view is a lazy DataFrame over the Parquet files, in the SQL
-checks it is a CTE. All views read whole tables.
+differ are placeholders. In Spark the three base views are written once as tables and the rest are
+lazy DataFrames; in the SQL checks all of them are CTEs. All views read whole tables.
 """
 
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -314,14 +316,46 @@ def _needed(sql: str) -> list[str]:
     return [v for v in VIEWS if v in found]
 
 
-def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A landing view as a lazy DataFrame."""
-    body = f"SELECT * FROM {name}"
+# Views written once per session and source folder, as a deployment would have them as tables.
+# Left as expressions, the optimizer pushes every predicate on a host into its long definition.
+WRITTEN = ["watch", "cert", "ct_raw"]
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is set (local runs)."""
+    key = (spark.sparkContext.applicationId, "", "")
+    if key not in _written:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        _written[key] = f"{base}/landing-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="landing-")
+    return _written[key]
+
+
+def _path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        _select(spark, sf_dir, name, VIEWS[name]).write.parquet(path)
+        _written[key] = path
+    return _written[key]
+
+
+def _select(spark: SparkSession, sf_dir: str, name: str, body: str) -> DataFrame:
+    ready = {v: _path(spark, sf_dir, v) for v in WRITTEN if v != name and re.search(rf"\b(FROM|JOIN)\s+{v}\b", body)}
+    for v, path in ready.items():
+        body = re.sub(rf"\b(FROM|JOIN)\s+{v}\b", rf"\1 parquet.`{path}`", body)
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(body))
-    sql = _expand(f"WITH {ctes} {body}", "spark")
+    sql = _expand(f"WITH {ctes} {body}" if ctes else body, "spark")
     return spark.sql(re.sub(r"@(\w+)@", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))
 
 
+def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A landing view: a written table, or a lazy DataFrame over tables."""
+    if name in WRITTEN:
+        return spark.read.parquet(_path(spark, sf_dir, name))
+    return _select(spark, sf_dir, name, VIEWS[name])
+
+
 def check_sql(body: str, ctes: dict[str, str] | None = None) -> str:
     """A DuckDB statement with the landing views it needs, and further CTEs, in front."""
     extra = ctes or {}
