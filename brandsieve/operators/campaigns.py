@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve.functions.domains import nameserver_signature, strip
+from brandsieve.operators.running import running_sum
 from brandsieve.operators.upsert import upsert
 
 # --- fixed values -----------------------------------------------------------
@@ -13,6 +14,7 @@ MIN_NAMESERVER_CLUSTER = 2
 MIN_BRAND_CLUSTER = 3
 WINDOW_DAYS = 7
 # ----------------------------------------------------------------------------
+SLICE_US = 600_000_000  # ten minutes: the unit in which a hot key is spread
 
 
 def nameserver_clusters(findings: DataFrame) -> DataFrame:
@@ -26,44 +28,28 @@ def nameserver_clusters(findings: DataFrame) -> DataFrame:
     )
 
 
-def _buckets(ts_us: Column, span_us: int) -> Column:
-    return F.floor(ts_us / F.lit(span_us)).cast("long")
-
-
 def largest_windows(rows: DataFrame, keys: list[str], days: int = WINDOW_DAYS, ts: str = "first_seen") -> DataFrame:
     """Per key the largest set of rows whose time span is at most ``days`` whole days; earliest on ties.
 
     Output: keys, window_start_us, window_end_us, member_count. A window ends at one of its rows and
     reaches back ``(days + 1)`` days less a microsecond.
 
-    One key may own a third of all rows, so the running count is not done per key: time is cut into
-    buckets of one span, every row is also a "leaver" that drops out of the count one span later, and
-    a window over (key, bucket) only has to add the rows carried in from the bucket before. That
-    carried-in number is a plain count per (key, bucket).
+    One key may own a third of all rows, so the count is a running sum over slices of time: every
+    row enters at its time and leaves one span later.
     """
     span = (days + 1) * 86_400_000_000
-    us = F.unix_micros(F.col(ts))
     points = (
         rows.where(F.col(ts).isNotNull())
-        .groupBy(*keys, us.alias("us"))  # equal times are peers: one point with a weight
+        .groupBy(*keys, F.unix_micros(F.col(ts)).alias("us"))  # equal times are peers: one point with a weight
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", _buckets(F.col("us"), span))
-    )
-    per_bucket = points.groupBy(*keys, "bucket").agg(F.sum("n").alias("carried"))
-    # a row leaves the window of every row later than or equal to its time + span; enters before leaves
-    # do not matter, as a row at exactly time + span must not count it
-    enters = points.select(*keys, "bucket", "us", F.col("n").alias("delta"), F.lit(1).alias("kind"))
-    leaves = points.select(
-        *keys, (F.col("bucket") + 1).alias("bucket"), (F.col("us") + span).alias("us"), (-F.col("n")).alias("delta"), F.lit(0).alias("kind")
-    )
-    w = Window.partitionBy(*keys, "bucket").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = (
-        enters.unionByName(leaves)
-        .withColumn("running", F.sum("delta").over(w))
-        .where(F.col("kind") == 1)
-        .join(per_bucket.withColumn("bucket", F.col("bucket") + 1), [*keys, "bucket"], "left")
-        .withColumn("members", F.col("running") + F.coalesce("carried", F.lit(0)))
     )
+    # at equal times leaving comes first: a row one whole span later must not count
+    enters = points.select(*keys, "us", F.lit(1).alias("kind"), F.col("n").alias("delta"))
+    leaves = points.select(*keys, (F.col("us") + span).alias("us"), F.lit(0).alias("kind"), (-F.col("n")).alias("delta"))
+    slices = F.floor(F.col("us") / F.lit(SLICE_US)).cast("long")
+    counted = running_sum(
+        enters.unionByName(leaves), keys, slices, ["us", "kind"], F.col("delta"), "members"
+    ).where(F.col("kind") == 1)
     best = counted.groupBy(*keys).agg(F.max(F.struct("members", (-F.col("us")).alias("neg_us"))).alias("b"))
     return best.select(
         *keys,
