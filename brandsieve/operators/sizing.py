@@ -1,4 +1,4 @@
-"""Size-checked broadcast."""
+"""Size checks: broadcast only what is small, spread what has fewer splits than cores."""
 
 from __future__ import annotations
 
@@ -16,3 +16,13 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint behind a row count; beyond it the plain frame, so Spark shuffles the join."""
     return F.broadcast(df) if fits(df, max_rows) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition an input that has fewer splits than there are cores.
+
+    That only happens to inputs below one file split per core, so the shuffle is small; anything
+    larger passes through untouched. For work bound by CPU, such as regular expressions on texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

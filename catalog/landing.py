@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brandsieve.operators.sizing import spread
+
 NOW = "2001-12-01 12:00:00"  # the fixed "now" of every time-dependent query
 
 TABLES = [
@@ -322,7 +324,7 @@ WRITTEN = ["watch", "cert", "ct_raw"]
 _written: dict[tuple[str, str, str], str] = {}
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is set (local runs)."""
     key = (spark.sparkContext.applicationId, "", "")
     if key not in _written:
@@ -331,17 +333,17 @@ def _shared_folder(spark: SparkSession) -> str:
     return _written[key]
 
 
-def _path(spark: SparkSession, sf_dir: str, name: str) -> str:
+def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _select(spark, sf_dir, name, VIEWS[name]).write.parquet(path)
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        spread(_select(spark, sf_dir, name, VIEWS[name])).write.parquet(path)
         _written[key] = path
     return _written[key]
 
 
 def _select(spark: SparkSession, sf_dir: str, name: str, body: str) -> DataFrame:
-    ready = {v: _path(spark, sf_dir, v) for v in WRITTEN if v != name and re.search(rf"\b(FROM|JOIN)\s+{v}\b", body)}
+    ready = {v: table_path(spark, sf_dir, v) for v in WRITTEN if v != name and re.search(rf"\b(FROM|JOIN)\s+{v}\b", body)}
     for v, path in ready.items():
         body = re.sub(rf"\b(FROM|JOIN)\s+{v}\b", rf"\1 parquet.`{path}`", body)
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(body))
@@ -352,8 +354,9 @@ def _select(spark: SparkSession, sf_dir: str, name: str, body: str) -> DataFrame
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A landing view: a written table, or a lazy DataFrame over tables."""
     if name in WRITTEN:
-        return spark.read.parquet(_path(spark, sf_dir, name))
-    return _select(spark, sf_dir, name, VIEWS[name])
+        return spark.read.parquet(table_path(spark, sf_dir, name))
+    view = _select(spark, sf_dir, name, VIEWS[name])
+    return spread(view) if name == "messages" else view
 
 
 def check_sql(body: str, ctes: dict[str, str] | None = None) -> str:
