@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, exact_dedup, sharding, simhash
+from brandsieve.llm import bpe, decontam, exact_dedup, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_decontamination")
+def op1(table):
+    return decontam.matches(table("documents"), table("benchmark"))
+
+
 def tokenizer_path() -> str:
     """The byte-level vocabulary file that op2's contract names."""
     import public_tokenizers
