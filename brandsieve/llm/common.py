@@ -35,13 +35,11 @@ def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(ROW)[c].alias(c) for c in columns])
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the folder all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session, whose executors are
-    this process, may go without: it gets a folder of its own.
+    Only a local session, whose executors are this process, may go without: it gets a folder of its own.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -50,4 +48,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = Path(tempfile.mkdtemp(prefix="ckpt-")).as_uri()
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the folder all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
