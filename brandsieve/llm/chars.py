@@ -65,22 +65,32 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base of word hashes modulo 2^64, and of its inverse."""
     base = 0x5851F42D4C957F2D
     inverse = pow(base, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate(([1], np.full(PIECE, b, np.uint64))).astype(np.uint64), dtype=np.uint64) for b in (base, inverse))
+    out = []
+    for factor in (base, inverse):
+        powers = np.full(PIECE + 1, factor, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers, dtype=np.uint64))
+    return out[0], out[1]
 
 
 def words(text: str, bits: int) -> Iterator[np.ndarray]:
-    """Buckets of all words (runs of letters), in order, with repeats.
+    """Hashes below 2^bits of all words (runs of letters), in order, with repeats.
 
     A word's hash is a polynomial in its letters, taken from running sums, so it doesn't matter where
-    the word stands. Comes in pieces; a word across the seam of two pieces is cut in two.
+    the word stands. Comes in pieces that end between words; only a word longer than a piece is cut.
     """
-    all_points = codes(text)
+    points = codes(text)
+    letter = letters()[points]
     up, down = _powers()
-    for at in range(0, len(all_points), PIECE):
-        points = all_points[at : at + PIECE]
-        letter = letters()[points]
-        edge = np.diff(np.concatenate(([0], letter.astype(np.int8), [0])))
+    at = 0
+    while at < len(points):
+        end = min(len(points), at + PIECE)
+        if end < len(points) and letter[end - 1] and letter[end]:
+            gaps = np.nonzero(~letter[at:end])[0]
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end
+        part = points[at:end]
+        edge = np.diff(np.concatenate(([0], letter[at:end].astype(np.int8), [0])))
         starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-        sums = np.concatenate(([0], np.cumsum(points.astype(np.uint64) * up[: len(points)], dtype=np.uint64))).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part.astype(np.uint64) * up[: len(part)], dtype=np.uint64)))
         yield _spread((sums[ends] - sums[starts]) * down[starts], bits)
+        at = end

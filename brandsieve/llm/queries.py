@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, decontam, exact_dedup, langid, sharding, simhash
+from brandsieve.llm import bpe, decontam, exact_dedup, langid, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2(table):
     return bpe.digests(bpe.encode(table("documents"), tokenizer_path()))
 
 
+@query("op3_toxicity")
+def op3(table):
+    docs = table("documents")
+    return toxicity.score(docs, toxicity.train(docs, table("labels")))
+
+
 @query("op4_language_id")
 def op4(table):
     return langid.identify(table("documents"))
