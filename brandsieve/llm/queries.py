@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, decontam, exact_dedup, langid, sharding, simhash, toxicity
+from brandsieve.llm import bpe, decontam, exact_dedup, langid, licenses, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -72,6 +72,11 @@ def op7(table):
     return simhash.near_duplicates(table("documents"))
 
 
+@query("op8_license_scan")
+def op8(table):
+    return licenses.find(table("documents"))
+
+
 SHARDS = 8
 
 
