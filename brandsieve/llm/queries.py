@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, decontam, exact_dedup, langid, licenses, sharding, simhash, toxicity
+from brandsieve.llm import bpe, decontam, exact_dedup, langid, licenses, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -84,3 +84,10 @@ SHARDS = 8
 def op9(table):
     plan = sharding.shard_plan(table("documents"), SHARDS)
     return plan.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_secret_scan")
+def op10(table):
+    found = secrets.scan(table("documents"))
+    masked = F.concat(F.left("value", F.lit(4)), F.lit("..."))
+    return found.select("doc_id", "start", F.length("value").alias("length"), masked.alias("masked"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "secret")
