@@ -27,7 +27,8 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def _spread(hashes: np.ndarray, bits: int) -> np.ndarray:
+def spread(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes mixed down to ``bits`` bits."""
     hashes ^= hashes >> np.uint64(29)
     return ((hashes * GOLDEN) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -57,7 +58,7 @@ def subwords(text: str, bits: int, sizes: tuple[int, ...] = (1, 2, 3)) -> Iterat
             hashes = np.full(count, n, np.uint64)
             for i in range(n):
                 hashes = hashes * np.uint64(1_000_003) + part[i : i + count]
-            yield _spread(hashes[good], bits)
+            yield spread(hashes[good], bits)
 
 
 @lru_cache(maxsize=1)
@@ -92,5 +93,5 @@ def words(text: str, bits: int) -> Iterator[np.ndarray]:
         edge = np.diff(np.concatenate(([0], letter[at:end].astype(np.int8), [0])))
         starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part.astype(np.uint64) * up[: len(part)], dtype=np.uint64)))
-        yield _spread((sums[ends] - sums[starts]) * down[starts], bits)
+        yield spread((sums[ends] - sums[starts]) * down[starts], bits)
         at = end

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, decontam, exact_dedup, langid, licenses, secrets, sharding, simhash, toxicity
+from brandsieve.llm import bpe, decontam, exact_dedup, langid, licenses, quality, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op4(table):
     return langid.identify(table("documents"))
 
 
+@query("op5_quality")
+def op5(table):
+    return quality.classify(table("documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
