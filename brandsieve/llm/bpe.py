@@ -79,7 +79,7 @@ class ByteBpe:
         self.latin = _splitter(re.compile, *LATIN.values())
         self.any = _splitter(regex.compile, r"\p{L}", r"\p{N}", r"\s")
         self.newer = regex.compile(f"[{NEWER}]")
-        self.older = _splitter(lambda p: regex.compile("(?V1)" + p), rf"\p{{L}}--[{NEWER}]", rf"\p{{N}}--[{NEWER}]", r"\s")
+        self.older = _splitter(lambda p: regex.compile("(?V1)" + p), rf"[\p{{L}}--[{NEWER}]]", rf"[\p{{N}}--[{NEWER}]]", r"\s")
         self.forget()
 
     def forget(self) -> None:
