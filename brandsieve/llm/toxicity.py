@@ -158,17 +158,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """Per row of ``docs``: doc_id, p_<category> for each category of the chain, toxic (boolean).
 
-    Whole texts are read. Texts that are null, empty or without words get the probabilities of a text
-    without any known word; repeated rows are scored alike; an empty table gives an empty result. Only
+    A row is toxic if its last probability is THRESHOLD or more and above that of an empty text. Whole
+    texts are read. Texts that are null, empty or without words get the probabilities of a text without
+    any known word and are not toxic; repeated rows are scored alike; an empty table gives an empty result. Only
     doc_id and text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    columns = [f"p_{n}" for n in chain.names]
+    columns, blank = [f"p_{n}" for n in chain.names], chain.predict(None)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([shared.value.predict(t.as_py()) for t in batch.column("text")], float).reshape(-1, len(columns))
-            toxic = pa.array(found[:, -1] >= THRESHOLD, pa.bool_())
+            toxic = pa.array((found[:, -1] >= THRESHOLD) & (found[:, -1] > blank), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(found[:, k], pa.float64()) for k in range(len(columns))], toxic], ["doc_id", *columns, "toxic"])
 
     source = docs.select(docs["doc_id"], docs["text"])
