@@ -102,6 +102,15 @@ def urls(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(found, normalize_url)))
 
 
+def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a costly ``value`` under ``name``, from a generator of one row.
+
+    Filters on the column then stay above it; on a plain column they would be pushed down with a second
+    copy of the expression.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def phone_numbers(text: Column) -> Column:
     def local(raw: Column) -> Column:
         d = F.regexp_replace(raw, "[^0-9+]", "")

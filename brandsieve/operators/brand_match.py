@@ -1,36 +1,30 @@
 """Brand matching: hosts against watchlist terms, four techniques in strict precedence.
 
-A host is exploded once into tokens, and one equi-join on a *blocking key* finds the watchlist
-words it may resemble:
-
-===  =======================================  ========================================
-key  host side                                watchlist side
-===  =======================================  ========================================
-n:   length of each label                     every length within the word's edit budget
-h:   hyphen-bounded runs inside a label       words of 4 letters or more
-f:   each label of the folded host            words of 3 letters or more
-===  =======================================  ========================================
+A host is exploded once into tokens: its labels, the hyphen-bounded runs inside a label, and the
+labels of the folded host. Runs and folded labels meet watchlist words by equality. Labels meet them
+by length: a word is keyed under every length within its edit budget. Only distinct labels go through
+this, so a label that millions of hosts share is compared once; hits then join back to the hosts.
 
 Cheap generated-code tests follow (equality, shared letters as bit sets, native Levenshtein at
 twice the budget), then the exact distance for the few pairs left. Distinct words are matched,
 and only hits are joined to the brands that use the word.
 
-With a watchlist small enough to broadcast all of this is map-side: only hits are shuffled, to
-pick the best one per host, and that aggregation combines map-side, so a repeated host is no hot
-key. Lengths are too few to be a shuffle key, so for a watchlist past the broadcast bound the
-``n:`` keys become deletion variants (``d:``), which spread evenly. They are as complete: two
-words within k edits share a form reachable by at most k deletions on either side.
+Words of five to nine letters tolerate one to three edits, so cutting them into segments leaves
+pieces of one or two letters that nearly every label has: the length and the bit sets prune more.
+Words go to the tasks in blocks of bounded size, broadcast one after the other, so a larger watchlist
+takes more passes of the same plan.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve.functions.distance import damerau_levenshtein
-from brandsieve.functions.domains import clean_domain, labels_of, strip, suffixes
+from brandsieve.functions.domains import clean_domain, label_count, labels_of, strip, suffixes
 from brandsieve.functions.homoglyph import fold, is_punycode, unicode_forms
-from brandsieve.operators.sizing import fits
 from brandsieve.operators.watchlist import letter_mask, letters, max_edits, watchlist_terms
 
 KEYWORD, HOMOGLYPH, EDIT, PERMUTATION = 1, 2, 3, 4
@@ -45,15 +39,14 @@ SCORE_EDIT_FLOOR = 0.60
 MIN_TERM = 3
 MIN_HYPHEN_TERM = 4
 MIN_EDIT_TERM = 5
-MAX_EDITS = 3
 GOVERNMENT_ZONE = ".go.id"
 GOVERNMENT_CATEGORY = "pemerintah"
 ACADEMIC_ZONES = [".ac.id", ".sch.id", ".mil.id"]
 ACADEMIC_MAX_SHORT_TERM = 4
 # ----------------------------------------------------------------------------
 
-# Beyond this many terms the fuzzy keys switch from lengths to deletion variants.
-MAX_BROADCAST_TERMS = 20_000
+# Distinct words broadcast at a time: at most seven keys each, some 40 MB.
+BLOCK_WORDS = 50_000
 
 
 def hyphen_runs(label: Column) -> Column:
@@ -71,28 +64,12 @@ def hyphen_runs(label: Column) -> Column:
     return F.array_distinct(F.filter(runs, lambda r: (r != label) & (r != "")))
 
 
-def deletion_variants(word: Column, edits: int) -> Column:
-    """The word and all forms with up to ``edits`` letters deleted."""
-
-    def drop_one(w: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(w)),
-            lambda i: F.concat(w.substr(F.lit(1), i - 1), w.substr(i + 1, F.length(w))),
-        )
-
-    forms = layer = F.array(word)
-    for _ in range(edits):
-        layer = F.array_distinct(F.flatten(F.transform(layer, lambda w: F.when(w != "", drop_one(w)).otherwise(F.array(w)))))
-        forms = F.concat(forms, layer)
-    return F.array_distinct(forms)
-
-
 LABEL, RUN, FOLDED = 0, 1, 2
 _TOKENS = "array<struct<kind:int,idx:int,token:string>>"
 
 
-def _host_tokens(hosts: DataFrame, by_length: bool) -> DataFrame:
-    """Explode hosts into (domain, kind, idx, token, key, mask)."""
+def host_tokens(hosts: DataFrame) -> DataFrame:
+    """Explode hosts into (domain, kind, idx, token)."""
 
     def token(kind: int, idx: Column, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), text.alias("token"))
@@ -111,7 +88,7 @@ def _host_tokens(hosts: DataFrame, by_length: bool) -> DataFrame:
     folded = F.when(
         F.col("spoofed"), F.transform(labels_of(F.col("folded")), lambda x, i: token(FOLDED, i, x))
     ).otherwise(none)
-    tokens = (
+    return (
         hosts.select(clean_domain(F.col("domain")).alias("domain"))
         .where(F.col("domain").contains("."))
         .withColumn("forms", unicode_forms(F.col("domain")))
@@ -125,21 +102,6 @@ def _host_tokens(hosts: DataFrame, by_length: bool) -> DataFrame:
         .select("domain", F.inline(F.concat(labels, runs, folded)))
         .where(F.length("token") >= MIN_TERM)
     )
-    text, kind = F.col("token"), F.col("kind")
-    if by_length:
-        label_key = F.concat(F.lit("n:"), F.length(text).cast("string"))
-        tokens = tokens.withColumn("key", F.when(kind == LABEL, label_key).otherwise(_exact_key(kind, text)))
-    else:
-        variants = F.when(F.length(text) < MIN_EDIT_TERM - 1, F.array(text)).otherwise(deletion_variants(text, MAX_EDITS))
-        keys = F.when(
-            kind == LABEL, F.transform(variants, lambda v: F.concat(F.lit("d:"), v))
-        ).otherwise(F.array(_exact_key(kind, text)))
-        tokens = tokens.withColumn("key", F.explode(keys))
-    return tokens.withColumn("mask", F.when(kind == LABEL, letter_mask(text)))
-
-
-def _exact_key(kind: Column, text: Column) -> Column:
-    return F.concat(F.when(kind == RUN, F.lit("h:")).otherwise(F.lit("f:")), text)
 
 
 def term_roles(terms: DataFrame) -> DataFrame:
@@ -161,25 +123,19 @@ def term_roles(terms: DataFrame) -> DataFrame:
     return as_term.unionByName(as_stem)
 
 
-def word_keys(roles: DataFrame, by_length: bool) -> DataFrame:
-    """Distinct words under their blocking keys."""
-    word, edits = F.col("word"), F.col("edits")
-    n = F.length(word)
-    words = roles.groupBy("word").agg(F.max("budget").alias("edits"), F.min("is_stem").alias("only_stem"))
-    if by_length:
-        near = F.transform(F.sequence(n - edits, n + edits), lambda x: F.concat(F.lit("n:"), x.cast("string")))
-    else:
-        forms = F.when(edits == 0, F.array(word))
-        for k in range(1, MAX_EDITS + 1):
-            forms = forms.when(edits == k, deletion_variants(word, k))
-        near = F.transform(forms, lambda v: F.concat(F.lit("d:"), v))
-    exact = F.when(
-        ~F.col("only_stem"),
-        F.array_compact(
-            F.array(F.concat(F.lit("f:"), word), F.when(n >= MIN_HYPHEN_TERM, F.concat(F.lit("h:"), word)))
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return words.select("word", "edits", letter_mask(word).alias("word_mask"), F.explode(F.concat(near, exact)).alias("key"))
+def match_words(roles: DataFrame) -> DataFrame:
+    """Distinct words with their largest edit budget and letters; ``only_stem`` words are no terms."""
+    return (
+        roles.groupBy("word")
+        .agg(F.max("budget").alias("edits"), F.min("is_stem").alias("only_stem"))
+        .withColumn("word_mask", letter_mask(F.col("word")))
+    )
+
+
+def word_blocks(words: DataFrame, size: int) -> list[DataFrame]:
+    """``words`` in parts of about ``size`` rows, by a hash; one part for a watchlist that fits."""
+    parts = -(-words.count() // size)
+    return [words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k) for k in range(parts)] or [words]
 
 
 # Sign bit of a letter mask: the word has letters outside the bit alphabet.
@@ -197,39 +153,53 @@ def _shared_letters(token: Column, mask: Column, word: Column, word_mask: Column
     ).otherwise(_shared_bits(mask, word_mask))
 
 
-def word_hits(hosts: DataFrame, roles: DataFrame, small: bool) -> DataFrame:
-    """(host, token, word) pairs within the word's edit budget, with distance and shared letters."""
-    keys = word_keys(roles, by_length=small)
-    pairs = _host_tokens(hosts, by_length=small).join(F.broadcast(keys) if small else keys, "key")
+def label_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
+    """(token, word, distance, shared) for distinct ``labels.token`` within a word's edit budget.
+
+    ``words`` is one block of ``match_words`` and is broadcast under its lengths.
+    """
     token, word, edits = F.col("token"), F.col("word"), F.col("edits")
     mask, word_mask = F.col("mask"), F.col("word_mask")
-    needed = F.length(word) - edits
+    n = F.length(word)
+    keyed = words.select("word", "edits", "word_mask", F.explode(F.sequence(n - edits, n + edits)).alias("n"))
+    sized = labels.select("token", F.length(token).alias("n"), letter_mask(token).alias("mask"))
+    needed = n - edits
     shared = _shared_letters(token, mask, word, word_mask)
     # One expression without lambdas, cheapest test first: it becomes the generated-code
     # condition of the join, so no pair leaves the join that could still be ruled out natively.
     near = (
         ((_shared_bits(mask, word_mask) >= needed) | (mask.bitwiseAND(word_mask) < 0))
-        & (F.abs(F.length(token) - F.length(word)) <= edits)
         & (F.call_function("levenshtein", token, word, 2 * edits) >= 0)
         & (shared >= needed)
     )
-    exact = (F.col("kind") != LABEL) | (token == word)
-    pairs = pairs.where(exact | near).withColumn("shared", F.when(~exact, shared))
+    exact = token == word
+    pairs = sized.join(F.broadcast(keyed), "n").where(exact | near).withColumn("shared", F.when(~exact, shared))
     # non-deterministic only in name: keeps the filter on it from evaluating the UDF twice
     distance = damerau_levenshtein.asNondeterministic()(F.when(~exact, token), F.when(~exact, word))
     return (
         pairs.withColumn("distance", F.coalesce(distance, F.lit(0)))
         .where(F.col("distance") <= edits)
-        .select("domain", "kind", "idx", "token", "word", "distance", "shared")
+        .select("token", "word", "distance", "shared")
     )
 
 
-def match_candidates(hosts: DataFrame, watch: DataFrame, max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+def word_hits(hosts: DataFrame, roles: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(host, token, word) hits of all three kinds, with distance and shared letters."""
+    tokens, words = host_tokens(hosts), match_words(roles)
+    labels = tokens.where(F.col("kind") == LABEL)
+    distinct = labels.select("token").distinct()
+    near = reduce(DataFrame.unionByName, [label_hits(distinct, block) for block in word_blocks(words, block_words)])
+    terms = words.where(~F.col("only_stem"))
+    rest = tokens.where((F.col("kind") == FOLDED) | ((F.col("kind") == RUN) & (F.length("token") >= MIN_HYPHEN_TERM)))
+    exact = rest.join(terms.select(F.col("word").alias("token"), "word"), "token").withColumn("distance", F.lit(0))
+    columns = ["domain", "kind", "idx", "token", "word", "distance", "shared"]
+    return labels.join(near, "token").select(*columns).unionByName(exact.withColumn("shared", F.lit(None).cast("int")).select(*columns))
+
+
+def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All (host, watchlist term, technique) hits."""
-    terms = watchlist_terms(watch)
-    roles = term_roles(terms)
-    small = fits(terms, max_broadcast_terms)
-    hits = word_hits(hosts, roles, small).join(F.broadcast(roles) if small else roles, "word")
+    roles = term_roles(watchlist_terms(watch))
+    hits = word_hits(hosts, roles, block_words).join(roles, "word")
 
     domain, distance = F.col("domain"), F.col("distance")
     kind, n = F.col("kind"), F.length("word")
@@ -262,11 +232,18 @@ def match_candidates(hosts: DataFrame, watch: DataFrame, max_broadcast_terms: in
 
 
 def is_official(hosts: DataFrame, watch: DataFrame) -> DataFrame:
-    """Distinct hosts that are, or sit below, an official domain: an equi-join on the parents."""
-    official = watch.select(F.lower(strip(F.col("official_domain"))).alias("parent")).distinct()
+    """Distinct hosts that are, or sit below, an official domain: an equi-join on the parents.
+
+    Only parents with as many labels as some official domain are looked up, so a top-level domain
+    that a large share of the hosts has in common is no join key.
+    """
+    official = watch.select(F.lower(strip(F.col("official_domain"))).alias("parent")).where("parent <> ''").distinct()
+    counts = sorted(r[0] for r in official.select(label_count(F.col("parent"))).distinct().collect())  # a few small numbers
+    parents = F.filter(suffixes(F.col("domain")), lambda p: label_count(p).isin(counts))
     return (
         hosts.select(clean_domain(F.col("domain")).alias("domain"))
-        .select("domain", F.explode(suffixes(F.col("domain"))).alias("parent"))
+        .distinct()
+        .select("domain", F.explode(parents).alias("parent"))
         .join(official, "parent", "left_semi")
         .select("domain")
         .distinct()
@@ -313,17 +290,10 @@ def best_match(candidates: DataFrame, watch: DataFrame) -> DataFrame:
     )
 
 
-def find_similar(hosts: DataFrame, watch: DataFrame, max_broadcast_terms: int = MAX_BROADCAST_TERMS) -> DataFrame:
+def find_similar(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Best watchlist match per distinct host of ``hosts.domain``; hosts without a match have no row.
 
     The official-domain test runs on matched hosts only, so it never touches the bulk of the input.
     """
-    best = best_match(match_candidates(hosts, watch, max_broadcast_terms), watch)
-    official = watch.select(F.lower(strip(F.col("official_domain"))).alias("parent")).distinct()
-    flagged = (
-        best.withColumn("parent", F.explode(suffixes(F.col("domain"))))
-        .join(official.withColumn("is_official", F.lit(1)), "parent", "left")
-        .groupBy(*best.columns)
-        .agg(F.max("is_official").alias("is_official"))
-    )
-    return flagged.where(F.col("is_official").isNull()).select(*best.columns)
+    best = best_match(match_candidates(hosts, watch, block_words), watch)
+    return best.join(is_official(best, watch), "domain", "left_anti")

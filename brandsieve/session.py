@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-# Settings that hold for every job. The matching and text stages are bound by CPU, not by bytes,
-# so small inputs keep all cores busy; large ones are past this minimum anyway.
+# Settings that hold for every job.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
 }
 
 
@@ -27,10 +23,3 @@ def build_session(app: str, master: str | None = None, **conf: str) -> SparkSess
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a session without one gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from brandsieve.functions.distance import damerau_levenshtein
-from brandsieve.functions.domains import domain_labels
 from brandsieve.operators.brand_match import (
     EDIT, HOMOGLYPH, KEYWORD, PERMUTATION, best_match, find_similar, is_official, match_candidates,
 )
@@ -96,36 +95,28 @@ def n1(i: Inputs):
     )
 
 
+def _own_pairs(i: Inputs):
+    """Each certificate's first label beside the name it was issued for."""
+    return i.host_zone.select(F.split_part("zone", F.lit("."), F.lit(1)).alias("label"), "term").distinct()
+
+
 @query(
     "f8_edit_distance",
-    """SELECT label, official_stem, CAST(damerau_levenshtein(translate(label, 'ое', 'OE'), official_stem) AS INTEGER) AS distance
-       FROM (SELECT DISTINCT label, split_part(official_domain, '.', 1) AS official_stem
-             FROM lab JOIN (SELECT DISTINCT official_domain, split_part(official_domain, '.', 1)[1:2] AS head FROM watch) w ON label[1:2] = head) x""",
-    MATCH,
+    """SELECT DISTINCT split_part(zone, '.', 1) AS label, term,
+              CAST(damerau_levenshtein(translate(split_part(zone, '.', 1), 'ое', 'OE'), term) AS INTEGER) AS distance FROM host_zone""",
 )
 def f8(i: Inputs):
-    """Distance of every label to the stems that start with the same two letters."""
-    labels = i.ct_raw.select(F.explode(domain_labels(F.col("domain"))).alias("label")).distinct()
-    stems = i.watch.select(F.substring_index("official_domain", ".", 1).alias("official_stem")).distinct()
-    return labels.join(stems, F.left("label", F.lit(2)) == F.left("official_stem", F.lit(2))).select(
-        "label", "official_stem", damerau_levenshtein("label", "official_stem").alias("distance")
-    )
+    return _own_pairs(i).select("label", "term", damerau_levenshtein("label", "term").alias("distance"))
 
 
 @query(
     "u4_shared_letters",
-    """SELECT label, official_stem, CAST(len(list_intersect(list_distinct(string_split(label, '')), list_distinct(string_split(official_stem, '')))) AS INTEGER) AS shared
-       FROM (SELECT DISTINCT label, split_part(official_domain, '.', 1) AS official_stem
-             FROM lab JOIN watch ON label[1:3] = official_domain[1:3]) x""",
-    MATCH,
+    """SELECT DISTINCT split_part(zone, '.', 1) AS label, term,
+              CAST(len(list_intersect(list_distinct(string_split(split_part(zone, '.', 1), '')), list_distinct(string_split(term, '')))) AS INTEGER) AS shared FROM host_zone""",
 )
 def u4(i: Inputs):
-    labels = i.ct_raw.select(F.explode(domain_labels(F.col("domain"))).alias("label")).distinct()
-    stems = i.watch.select(F.substring_index("official_domain", ".", 1).alias("official_stem")).distinct()
-    return labels.join(stems, F.left("label", F.lit(3)) == F.left("official_stem", F.lit(3))).select(
-        "label",
-        "official_stem",
-        F.size(F.array_intersect(F.split("label", ""), F.split("official_stem", ""))).alias("shared"),
+    return _own_pairs(i).select(
+        "label", "term", F.size(F.array_intersect(F.split("label", ""), F.split("term", ""))).alias("shared")
     )
 
 

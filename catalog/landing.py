@@ -1,20 +1,17 @@
 """Landing views: the given tables reshaped into the engine's input tables.
 
 Each view is one SELECT that means the same in Spark SQL and in DuckDB; the few spellings that
-differ are placeholders. In Spark the three base views are written once as tables and the rest are
-lazy DataFrames; in the SQL checks all of them are CTEs. All views read whole tables.
+differ are placeholders. In Spark they are lazy DataFrames over the given tables, in the SQL checks
+CTEs. All views read whole tables.
 """
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandsieve.operators.sizing import spread
-
 NOW = "2001-12-01 12:00:00"  # the fixed "now" of every time-dependent query
 
 TABLES = [
@@ -225,20 +222,20 @@ VIEWS: dict[str, str] = {
     """,
     # messages: whole document and conversation texts with planted scam fragments
     "messages": """
-        SELECT msg_id, label, CASE msg_id % 12
-            WHEN 0 THEN 'Segera konfirmasi OTP anda di hxxps://bca-promo[.]xyz/klaim?id=' || CAST(msg_id AS VARCHAR(20)) || ' sekarang. ' || text
-            WHEN 1 THEN text || ' Silakan transfer dana ke rek BCA 12345678' || CAST(10 + msg_id % 90 AS VARCHAR(20)) || ' atau hubungi 0812-3456-78' || CAST(10 + msg_id % 90 AS VARCHAR(20))
+        SELECT msg_id, label, CASE seed % 12
+            WHEN 0 THEN 'Segera konfirmasi OTP anda di hxxps://bca-promo[.]xyz/klaim?id=' || CAST(seed AS VARCHAR(20)) || ' sekarang. ' || text
+            WHEN 1 THEN text || ' Silakan transfer dana ke rek BCA 12345678' || CAST(10 + seed % 90 AS VARCHAR(20)) || ' atau hubungi 0812-3456-78' || CAST(10 + seed % 90 AS VARCHAR(20))
             WHEN 2 THEN 'Pemberitahuan resmi: unduh aplikasi tagihan.apk dari www.redwidget-login.top/apk, terima kasih. ' || text
-            WHEN 3 THEN text || chr(10) || 'Selamat anda menang undian berhadiah 10 juta! chat wa.me/62812345678' || CAST(msg_id % 10 AS VARCHAR(20))
+            WHEN 3 THEN text || chr(10) || 'Selamat anda menang undian berhadiah 10 juta! chat wa.me/62812345678' || CAST(seed % 10 AS VARCHAR(20))
             WHEN 4 THEN 'Jangan berikan kode verifikasi atau PIN kepada siapa pun. ' || text
-            WHEN 5 THEN text || ' kunjungi smallr1ng dot com slash login, BNI no. rekening: 99887766' || CAST(10 + msg_id % 90 AS VARCHAR(20))
-            WHEN 6 THEN 'Peringatan: akun menunggak denda, bayar sebelum jam 5 lewat t.me/petugas . NIK 320101010190' || CAST(1000 + msg_id % 9000 AS VARCHAR(20)) || ' under Budi Santoso. ' || text
+            WHEN 5 THEN text || ' kunjungi smallr1ng dot com slash login, BNI no. rekening: 99887766' || CAST(10 + seed % 90 AS VARCHAR(20))
+            WHEN 6 THEN 'Peringatan: akun menunggak denda, bayar sebelum jam 5 lewat t.me/petugas . NIK 320101010190' || CAST(1000 + seed % 9000 AS VARCHAR(20)) || ' under Budi Santoso. ' || text
             WHEN 7 THEN text || ' Dapatkan voucher dan cashback di https://User@Shop.Example.co.id:8080//promo//x?y=1#z!'
             ELSE text END AS text
         FROM (
-            SELECT doc_id * 2 AS msg_id, text, CASE WHEN doc_id % 12 IN (0, 1, 3) THEN 'scam' ELSE 'legit' END AS label FROM @documents@
+            SELECT 'd' || CAST(doc_id AS VARCHAR(20)) AS msg_id, doc_id * 2 AS seed, text, CASE WHEN doc_id % 12 IN (0, 1, 3) THEN 'scam' ELSE 'legit' END AS label FROM @documents@
             UNION ALL
-            SELECT (conv_id * 64 + turn) * 2 + 1 AS msg_id, text, CASE WHEN turn = 0 THEN 'scam' ELSE 'legit' END AS label FROM @conversations@
+            SELECT 'c' || CAST(conv_id AS VARCHAR(20)) || '-' || CAST(turn AS VARCHAR(20)) AS msg_id, (conv_id * 64 + turn) * 2 + 1 AS seed, text, CASE WHEN turn = 0 THEN 'scam' ELSE 'legit' END AS label FROM @conversations@
         ) AS m
     """,
     # one page of two certificate rows per certificate; some timestamps are broken
@@ -261,7 +258,7 @@ VIEWS: dict[str, str] = {
                || CASE l_suppkey % 3 WHEN 0 THEN ',"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text"," Reg ' || CAST(l_suppkey AS VARCHAR(20)) || ' Ltd "]]]' ELSE '' END
                || CASE l_suppkey % 3 WHEN 2 THEN ',"publicIds":[{"type":"id","identifier":"PID' || CAST(l_suppkey AS VARCHAR(20)) || '"}]' ELSE ',"handle":"H' || CAST(l_suppkey AS VARCHAR(20)) || '"' END
                || '}]}' AS payload, zone, l_suppkey, l_partkey, not_before
-        FROM cert WHERE l_linenumber > 0
+        FROM cert
     """,
     "bootstrap_docs": """
         SELECT s_suppkey AS doc_seq, '{"version":"1.0","services":[[["T' || CAST(s_nationkey AS VARCHAR(20)) || '",".u' || CAST(s_suppkey % 7 AS VARCHAR(20)) || '"],["https://r' || CAST(s_suppkey AS VARCHAR(20)) || '.test'
@@ -318,45 +315,25 @@ def _needed(sql: str) -> list[str]:
     return [v for v in VIEWS if v in found]
 
 
-# Views written once per session and source folder, as a deployment would have them as tables.
-# Left as expressions, the optimizer pushes every predicate on a host into its long definition.
-WRITTEN = ["watch", "cert", "ct_raw"]
-_written: dict[tuple[str, str, str], str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set (local runs)."""
-    key = (spark.sparkContext.applicationId, "", "")
-    if key not in _written:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        _written[key] = f"{base}/landing-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="landing-")
-    return _written[key]
-
+    """Where tables that must be files go: the configured checkpoint folder, or the session's warehouse.
 
-def table_path(spark: SparkSession, sf_dir: str, name: str) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
-        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        spread(_select(spark, sf_dir, name, VIEWS[name])).write.parquet(path)
-        _written[key] = path
-    return _written[key]
-
-
-def _select(spark: SparkSession, sf_dir: str, name: str, body: str) -> DataFrame:
-    ready = {v: table_path(spark, sf_dir, v) for v in WRITTEN if v != name and re.search(rf"\b(FROM|JOIN)\s+{v}\b", body)}
-    for v, path in ready.items():
-        body = re.sub(rf"\b(FROM|JOIN)\s+{v}\b", rf"\1 parquet.`{path}`", body)
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(body))
-    sql = _expand(f"WITH {ctes} {body}" if ctes else body, "spark")
-    return spark.sql(re.sub(r"@(\w+)@", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))
+    The default warehouse is a folder of the driver's machine, so a cluster needs one of the two set to
+    storage that all executors share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base}/landing-{uuid.uuid4().hex}"
 
 
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A landing view: a written table, or a lazy DataFrame over tables."""
-    if name in WRITTEN:
-        return spark.read.parquet(table_path(spark, sf_dir, name))
-    view = _select(spark, sf_dir, name, VIEWS[name])
-    return spread(view) if name == "messages" else view
+    """A landing view as a lazy DataFrame over the given tables."""
+    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(VIEWS[name]))
+    sql = _expand(f"WITH {ctes} {VIEWS[name]}" if ctes else VIEWS[name], "spark")
+    return spark.sql(re.sub(r"@(\w+)@", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))
 
 
 def check_sql(body: str, ctes: dict[str, str] | None = None) -> str:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brandsieve.session import RUNTIME_CONF
 from catalog.landing import TABLES, check_sql, spark_view
 
 
@@ -35,8 +34,7 @@ def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None)
         assert name not in QUERIES, name
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for key, value in RUNTIME_CONF.items():
-                spark.conf.set(key, value)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the views hold UTC timestamps
             return fn(Inputs(spark, sf_dir))
 
         QUERIES[name] = run

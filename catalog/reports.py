@@ -341,14 +341,15 @@ def p7(i: Inputs):
     return A.spotlight(feed(i), "bank").select("id", "category", "domain", "risk_score")
 
 
+_ROW_ID = "((seq1 * 8 + seq4) * 1000000 + seq2) * 10000 + seq3"
+
+
 @query(
     "p9_latest_by_domain",
-    """SELECT arg_max(domain, id) AS domain, max(id) AS id, arg_max(CAST(risk_score AS BIGINT), id) AS risk_score FROM (
-         SELECT split_part(domain, '-', 1) AS domain, id, risk_score FROM findings) a GROUP BY a.domain""",
+    f"""SELECT lower(domain) AS domain, max({_ROW_ID}) AS id, arg_max(registrar, {_ROW_ID}) AS registrar FROM rdap_log GROUP BY 1""",
 )
 def p9(i: Inputs):
-    rows = i.findings.select(F.split_part("domain", F.lit("-"), F.lit(1)).alias("domain"), "id", "risk_score")
-    return A.latest_by_domain(rows)
+    return A.latest_by_domain(i.rdap_log.select("domain", F.expr(_ROW_ID).alias("id"), "registrar"))
 
 
 @query(

@@ -7,18 +7,23 @@ import uuid
 from pyspark.sql import functions as F
 
 from brandsieve.streaming import jobs
-from catalog.landing import shared_folder, table_path
+from catalog.landing import shared_folder
 from catalog.registry import Inputs, query
 from catalog.sqlparts import MATCH
 
 
+FILES, FILES_PER_BATCH = 8, 3
+
+
 def _folder(i: Inputs, name: str) -> str:
     return f"{shared_folder(i.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _cert_stream(i: Inputs):
-    path = table_path(i.spark, i.sf_dir, "cert")
-    return i.spark.readStream.schema(i.cert.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    """Certificates as they land: a table of several files, read a few files per batch."""
+    path = _folder(i, "cert")
+    i.cert.repartition(FILES, F.xxhash64("raw_name")).write.parquet(path)
+    return i.spark.readStream.schema(i.cert.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 def _event_stream(i: Inputs):

@@ -1,4 +1,4 @@
-"""Distance, prefilters and the two blocking modes against brute force."""
+"""Distance and brand match against brute force."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brandsieve.functions.distance import pairwise_distance
-from brandsieve.operators.brand_match import find_similar
+from brandsieve.operators.brand_match import find_similar, label_hits, match_words, word_blocks
 from brandsieve.session import build_session
 
 
@@ -21,7 +21,7 @@ def test_distance_counts_a_swap_once():
     assert pairwise_distance(["ca", "abcd", "", "same"], ["abc", "abdc", "xy", "same"]).tolist() == [2, 1, 2, 0]
 
 
-def test_blocking_modes_agree(spark):
+def test_blocks_of_words_agree(spark):
     rnd = random.Random(7)
     words = ["kitabank", "senopati", "mandala", "tokobaru", "rumahku"]
     hosts = []
@@ -38,8 +38,32 @@ def test_blocking_modes_agree(spark):
     )
     df = spark.createDataFrame(hosts, "domain string")
     near = {tuple(r) for r in find_similar(df, watch).collect()}
-    spread = {tuple(r) for r in find_similar(df, watch, max_broadcast_terms=0).collect()}
-    assert near and near == spread
+    blocks = {tuple(r) for r in find_similar(df, watch, block_words=2).collect()}
+    assert near and near == blocks
+
+
+def test_label_hits_equal_all_pairs(spark):
+    """Every label against every word by the exact distance and the shared-letter rule."""
+    rnd = random.Random(3)
+    letters = "abcdeilnorst0-é日"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.choice([3, 4, 5, 6, 8, 9, 12, 20, 63]))) for _ in range(60)]
+    labels = set(words[:10])
+    for _ in range(500):
+        w = list(rnd.choice(words))
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(w))
+            w[k : k + 2] = rnd.choice([[], [rnd.choice(letters)], w[k : k + 2][::-1], [*w[k : k + 2], "a"]])
+            w = w or ["a"]
+        labels.add("".join(w))
+    budget = lambda w: 0 if len(w) < 5 else 1 if len(w) == 5 else 2 if len(w) <= 8 else 3
+    pairs = [(t, w) for t in labels for w in set(words) if abs(len(t) - len(w)) <= budget(w)]
+    distance = dict(zip(pairs, pairwise_distance([t for t, _ in pairs], [w for _, w in pairs]).tolist()))
+    expected = {(t, w, d) for (t, w), d in distance.items() if d <= budget(w) and (t == w or len(set(t) & set(w)) >= len(w) - budget(w))}
+    roles = spark.createDataFrame([(w, budget(w), False) for w in set(words)], "word string, budget int, is_stem boolean")
+    for size in (1000, 7):
+        found = [label_hits(spark.createDataFrame([(t,) for t in labels], "token string"), b) for b in word_blocks(match_words(roles), size)]
+        assert {(r["token"], r["word"], r["distance"]) for f in found for r in f.collect()} == expected
+    assert len(expected) > 100
 
 
 def test_official_hosts_and_precedence(spark):
