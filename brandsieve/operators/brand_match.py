@@ -1,18 +1,25 @@
 """Brand matching: hosts against watchlist terms, four techniques in strict precedence.
 
-A host is exploded once into tokens: its labels, the hyphen-bounded runs inside a label, and the
-labels of the folded host. Runs and folded labels meet watchlist words by equality. Labels meet them
-by length: a word is keyed under every length within its edit budget. Only distinct labels go through
-this, so a label that millions of hosts share is compared once; hits then join back to the hosts.
+A host is exploded once into tokens, and one equi-join on a *blocking key* finds the watchlist
+words it may resemble:
+
+===  =======================================  ========================================
+key  host side                                watchlist side
+===  =======================================  ========================================
+n:   length of each label                     every length within the word's edit budget
+h:   hyphen-bounded runs inside a label       words of 4 letters or more
+f:   each label of the folded host            words of 3 letters or more
+===  =======================================  ========================================
 
 Cheap generated-code tests follow (equality, shared letters as bit sets, native Levenshtein at
 twice the budget), then the exact distance for the few pairs left. Distinct words are matched,
 and only hits are joined to the brands that use the word.
 
-Words of five to nine letters tolerate one to three edits, so cutting them into segments leaves
-pieces of one or two letters that nearly every label has: the length and the bit sets prune more.
 Words go to the tasks in blocks of bounded size, broadcast one after the other, so a larger watchlist
-takes more passes of the same plan.
+takes more passes of the same plan. All of it is map-side: only hits are shuffled, to pick the best
+one per host, and that aggregation combines map-side, so a repeated host is no hot key. Words of five
+to nine letters tolerate one to three edits, so cutting them into segments would leave pieces of one
+or two letters that nearly every label has: the length and the bit sets prune more.
 """
 
 from __future__ import annotations
@@ -45,7 +52,7 @@ ACADEMIC_ZONES = [".ac.id", ".sch.id", ".mil.id"]
 ACADEMIC_MAX_SHORT_TERM = 4
 # ----------------------------------------------------------------------------
 
-# Distinct words broadcast at a time: at most seven keys each, some 40 MB.
+# Distinct words broadcast at a time: at most nine keys each, some 50 MB.
 BLOCK_WORDS = 50_000
 
 
@@ -69,7 +76,7 @@ _TOKENS = "array<struct<kind:int,idx:int,token:string>>"
 
 
 def host_tokens(hosts: DataFrame) -> DataFrame:
-    """Explode hosts into (domain, kind, idx, token)."""
+    """Explode hosts into (domain, kind, idx, token, key, mask)."""
 
     def token(kind: int, idx: Column, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), text.alias("token"))
@@ -88,7 +95,7 @@ def host_tokens(hosts: DataFrame) -> DataFrame:
     folded = F.when(
         F.col("spoofed"), F.transform(labels_of(F.col("folded")), lambda x, i: token(FOLDED, i, x))
     ).otherwise(none)
-    return (
+    tokens = (
         hosts.select(clean_domain(F.col("domain")).alias("domain"))
         .where(F.col("domain").contains("."))
         .withColumn("forms", unicode_forms(F.col("domain")))
@@ -102,6 +109,13 @@ def host_tokens(hosts: DataFrame) -> DataFrame:
         .select("domain", F.inline(F.concat(labels, runs, folded)))
         .where(F.length("token") >= MIN_TERM)
     )
+    text, kind = F.col("token"), F.col("kind")
+    key = (
+        F.when(kind == LABEL, F.concat(F.lit("n:"), F.length(text).cast("string")))
+        .when(kind == RUN, F.concat(F.lit("h:"), text))
+        .otherwise(F.concat(F.lit("f:"), text))
+    )
+    return tokens.withColumn("key", key).withColumn("mask", F.when(kind == LABEL, letter_mask(text)))
 
 
 def term_roles(terms: DataFrame) -> DataFrame:
@@ -153,17 +167,29 @@ def _shared_letters(token: Column, mask: Column, word: Column, word_mask: Column
     ).otherwise(_shared_bits(mask, word_mask))
 
 
-def label_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, word, distance, shared) for distinct ``labels.token`` within a word's edit budget.
+def word_keys(words: DataFrame) -> DataFrame:
+    """``words`` under their blocking keys."""
+    word, edits = F.col("word"), F.col("edits")
+    n = F.length(word)
+    near = F.transform(F.sequence(n - edits, n + edits), lambda x: F.concat(F.lit("n:"), x.cast("string")))
+    exact = F.when(
+        ~F.col("only_stem"),
+        F.array_compact(
+            F.array(F.concat(F.lit("f:"), word), F.when(n >= MIN_HYPHEN_TERM, F.concat(F.lit("h:"), word)))
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+    return words.select("word", "edits", "word_mask", F.explode(F.concat(near, exact)).alias("key"))
+
 
-    ``words`` is one block of ``match_words`` and is broadcast under its lengths.
+def block_hits(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, token, word) pairs within the word's edit budget, with distance and shared letters.
+
+    ``words`` is one block of ``match_words``; its keys are broadcast.
     """
+    pairs = tokens.join(F.broadcast(word_keys(words)), "key")
     token, word, edits = F.col("token"), F.col("word"), F.col("edits")
     mask, word_mask = F.col("mask"), F.col("word_mask")
-    n = F.length(word)
-    keyed = words.select("word", "edits", "word_mask", F.explode(F.sequence(n - edits, n + edits)).alias("n"))
-    sized = labels.select("token", F.length(token).alias("n"), letter_mask(token).alias("mask"))
-    needed = n - edits
+    needed = F.length(word) - edits
     shared = _shared_letters(token, mask, word, word_mask)
     # One expression without lambdas, cheapest test first: it becomes the generated-code
     # condition of the join, so no pair leaves the join that could still be ruled out natively.
@@ -172,28 +198,21 @@ def label_hits(labels: DataFrame, words: DataFrame) -> DataFrame:
         & (F.call_function("levenshtein", token, word, 2 * edits) >= 0)
         & (shared >= needed)
     )
-    exact = token == word
-    pairs = sized.join(F.broadcast(keyed), "n").where(exact | near).withColumn("shared", F.when(~exact, shared))
+    exact = (F.col("kind") != LABEL) | (token == word)
+    pairs = pairs.where(exact | near).withColumn("shared", F.when(~exact, shared))
     # non-deterministic only in name: keeps the filter on it from evaluating the UDF twice
     distance = damerau_levenshtein.asNondeterministic()(F.when(~exact, token), F.when(~exact, word))
     return (
         pairs.withColumn("distance", F.coalesce(distance, F.lit(0)))
         .where(F.col("distance") <= edits)
-        .select("token", "word", "distance", "shared")
+        .select("domain", "kind", "idx", "token", "word", "distance", "shared")
     )
 
 
 def word_hits(hosts: DataFrame, roles: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(host, token, word) hits of all three kinds, with distance and shared letters."""
-    tokens, words = host_tokens(hosts), match_words(roles)
-    labels = tokens.where(F.col("kind") == LABEL)
-    distinct = labels.select("token").distinct()
-    near = reduce(DataFrame.unionByName, [label_hits(distinct, block) for block in word_blocks(words, block_words)])
-    terms = words.where(~F.col("only_stem"))
-    rest = tokens.where((F.col("kind") == FOLDED) | ((F.col("kind") == RUN) & (F.length("token") >= MIN_HYPHEN_TERM)))
-    exact = rest.join(terms.select(F.col("word").alias("token"), "word"), "token").withColumn("distance", F.lit(0))
-    columns = ["domain", "kind", "idx", "token", "word", "distance", "shared"]
-    return labels.join(near, "token").select(*columns).unionByName(exact.withColumn("shared", F.lit(None).cast("int")).select(*columns))
+    """``block_hits`` of all blocks of the watchlist's words."""
+    tokens = host_tokens(hosts)
+    return reduce(DataFrame.unionByName, [block_hits(tokens, b) for b in word_blocks(match_words(roles), block_words)])
 
 
 def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:

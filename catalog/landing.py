@@ -329,10 +329,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/landing-{uuid.uuid4().hex}"
 
 
+#: Session setting: a folder where ``land`` has written views as tables.
+LANDED = "spark.brandsieve.landed"
+
+
+def land(spark: SparkSession, sf_dir: str, folder: str, names: list[str], files: int) -> None:
+    """Write views as tables, as a deployment has them, and let this session read them from there."""
+    for name in names:
+        spark_view(spark, sf_dir, name).repartition(files).write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.conf.set(LANDED, f"{sf_dir}|{folder}|{','.join(names)}")
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A landing view as a lazy DataFrame over the given tables."""
-    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(VIEWS[name]))
-    sql = _expand(f"WITH {ctes} {VIEWS[name]}" if ctes else VIEWS[name], "spark")
+    """A landing view: lazy over the given tables, or over those of ``land``."""
+    source, _, rest = spark.conf.get(LANDED, "").partition("|")
+    folder, _, names = rest.partition("|")
+    landed = names.split(",") if source == sf_dir else []
+    if name in landed:
+        return spark.read.parquet(f"{folder}/{name}")
+    body = VIEWS[name]
+    for v in landed:
+        body = re.sub(rf"\b(FROM|JOIN)\s+{v}\b", rf"\1 parquet.`{folder}/{v}`", body)
+    ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in _needed(body))
+    sql = _expand(f"WITH {ctes} {body}" if ctes else body, "spark")
     return spark.sql(re.sub(r"@(\w+)@", lambda m: f"parquet.`{sf_dir}/{m.group(1)}.parquet`", sql))
 
 
