@@ -52,6 +52,8 @@ ACADEMIC_ZONES = [".ac.id", ".sch.id", ".mil.id"]
 ACADEMIC_MAX_SHORT_TERM = 4
 # ----------------------------------------------------------------------------
 
+# Column that travels with a host through the match.
+CARRY = "_carry"
 # Distinct words broadcast at a time: at most nine keys each, some 50 MB.
 BLOCK_WORDS = 50_000
 
@@ -76,7 +78,8 @@ _TOKENS = "array<struct<kind:int,idx:int,token:string>>"
 
 
 def host_tokens(hosts: DataFrame) -> DataFrame:
-    """Explode hosts into (domain, kind, idx, token, key, mask)."""
+    """Explode hosts into (domain, kind, idx, token, key, mask), with ``_carry`` if the hosts have it."""
+    carry = [c for c in hosts.columns if c == CARRY]
 
     def token(kind: int, idx: Column, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), text.alias("token"))
@@ -96,17 +99,18 @@ def host_tokens(hosts: DataFrame) -> DataFrame:
         F.col("spoofed"), F.transform(labels_of(F.col("folded")), lambda x, i: token(FOLDED, i, x))
     ).otherwise(none)
     tokens = (
-        hosts.select(clean_domain(F.col("domain")).alias("domain"))
+        hosts.select(clean_domain(F.col("domain")).alias("domain"), *carry)
         .where(F.col("domain").contains("."))
         .withColumn("forms", unicode_forms(F.col("domain")))
-        .select("domain", fold(F.col("forms.compat")).alias("folded"))
+        .select("domain", *carry, fold(F.col("forms.compat")).alias("folded"))
         .select(
             "domain",
+            *carry,
             "folded",
             labels_of(F.col("domain")).alias("labels"),
             (is_punycode(F.col("domain")) | (F.col("folded") != F.col("domain"))).alias("spoofed"),
         )
-        .select("domain", F.inline(F.concat(labels, runs, folded)))
+        .select("domain", *carry, F.inline(F.concat(labels, runs, folded)))
         .where(F.length("token") >= MIN_TERM)
     )
     text, kind = F.col("token"), F.col("kind")
@@ -205,7 +209,7 @@ def block_hits(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("distance", F.coalesce(distance, F.lit(0)))
         .where(F.col("distance") <= edits)
-        .select("domain", "kind", "idx", "token", "word", "distance", "shared")
+        .select("domain", "kind", "idx", "token", "word", "distance", "shared", *[c for c in tokens.columns if c == CARRY])
     )
 
 
@@ -246,6 +250,7 @@ def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOC
         .select(
             "domain", "priority", "brand_idx", "term_idx", "raw_len", F.col("token"), F.col("idx").alias("label_idx"),
             (kind == RUN).alias("hyphen"), "distance", score.alias("similarity_score"),
+            *[c for c in hits.columns if c == CARRY],
         )
     )
 
@@ -277,6 +282,8 @@ def best_match(candidates: DataFrame, watch: DataFrame) -> DataFrame:
     edit distance the raw term length, then watchlist order.
     """
     edit = F.col("priority") == EDIT
+    carry = [F.min(c).alias(c) for c in candidates.columns if c == CARRY]
+    carried = [c for c in candidates.columns if c == CARRY]
     per_brand = candidates.groupBy("domain", "priority", "brand_idx").agg(
         F.min(
             F.struct(
@@ -284,19 +291,21 @@ def best_match(candidates: DataFrame, watch: DataFrame) -> DataFrame:
                 F.when(edit, F.col("raw_len")).otherwise(0).alias("by_length"),
                 "term_idx", "label_idx", "hyphen", "similarity_score",
             )
-        ).alias("m")
+        ).alias("m"),
+        *carry,
     )
     best = per_brand.groupBy("domain").agg(
         F.min(
             F.struct(
                 "priority", (-F.col("m.similarity_score")).alias("by_score"), "m.by_length", "brand_idx", "m.term_idx"
             )
-        ).alias("b")
+        ).alias("b"),
+        *carry,
     )
     terms = watchlist_terms(watch).select("brand_idx", "term_idx", "brand_name", "official_domain", "official_stem", "term")
     method = F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv])
     return (
-        best.select("domain", "b.priority", "b.brand_idx", "b.term_idx", (-F.col("b.by_score")).alias("similarity_score"))
+        best.select("domain", "b.priority", "b.brand_idx", "b.term_idx", (-F.col("b.by_score")).alias("similarity_score"), *carried)
         .join(terms, ["brand_idx", "term_idx"])
         .select(
             "domain",
@@ -305,14 +314,22 @@ def best_match(candidates: DataFrame, watch: DataFrame) -> DataFrame:
             method[F.col("priority")].alias("match_method"),
             "similarity_score",
             F.when(F.col("priority") == PERMUTATION, F.col("official_stem")).otherwise(F.col("term")).alias("matched_term"),
+            *carried,
         )
     )
 
 
-def find_similar(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_similar(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS, carry: list[str] | None = None) -> DataFrame:
     """Best watchlist match per distinct host of ``hosts.domain``; hosts without a match have no row.
 
-    The official-domain test runs on matched hosts only, so it never touches the bulk of the input.
+    ``carry`` names columns that come along, so that the matches need no join back to the bulk; of
+    several spellings of a host the row that is least in them counts. The official-domain test runs on
+    matched hosts only, so it never touches the bulk of the input.
     """
+    if carry:
+        hosts = hosts.select("domain", F.struct(*carry).alias(CARRY))
+    else:
+        hosts = hosts.select("domain")
     best = best_match(match_candidates(hosts, watch, block_words), watch)
-    return best.join(is_official(best, watch), "domain", "left_anti")
+    best = best.join(is_official(best, watch), "domain", "left_anti")
+    return best.select("*", *[F.col(CARRY)[c].alias(c) for c in carry]).drop(CARRY) if carry else best

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve.functions import scoring
-from brandsieve.functions.domains import clean_domain, is_risky_tld, last_label
+from brandsieve.functions.domains import is_risky_tld, last_label
 from brandsieve.operators.brand_match import find_similar
 from brandsieve.operators.enrich import with_blacklist, with_liveness, with_registration
+from brandsieve.operators.upsert import upsert
 
 # --- fixed values -----------------------------------------------------------
 OLD_AGE_DAYS = 90
@@ -35,14 +36,15 @@ def day_slice(ct_raw: DataFrame, day: str, limit: int | None = None) -> DataFram
 
 
 def brand_stage(ct_raw: DataFrame, watch: DataFrame) -> DataFrame:
-    """Stage 1: hosts with a brand match."""
-    hosts = ct_raw.withColumn("domain", clean_domain(F.col("domain")))
-    return hosts.join(find_similar(hosts.select("domain"), watch), "domain")
+    """Stage 1: hosts with a brand match, one row per cleaned host; of several spellings the first seen."""
+    return find_similar(ct_raw, watch, carry=["first_seen", *[c for c in ct_raw.columns if c not in ("domain", "first_seen")]])
 
 
 def technical_stage(stage1: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column) -> DataFrame:
     """Stage 2: evidence columns and the ``escalated`` flag (established dead hosts are not)."""
     rows = with_liveness(with_blacklist(with_registration(stage1, rdap, now), blacklist, now), probes)
+    for c in ("registrar", "nameservers"):  # an answer without a date is no evidence
+        rows = rows.withColumn(c, F.when(F.col("registration_date").isNotNull(), F.col(c)))
     rows = (
         rows.withColumnRenamed("registration_date", "registered_at")
         .withColumn("domain_age_days", scoring.domain_age_days(F.col("registered_at"), now))
@@ -117,6 +119,16 @@ def counters_of_day(counters: DataFrame, day: str) -> DataFrame:
     return one.join(counters, "date", "left").fillna(0, COUNTERS)
 
 
+def upsert_findings(existing: DataFrame, found: DataFrame) -> DataFrame:
+    """The findings table after a run: known hosts get the five columns of the new look, the rest is new."""
+    return upsert(existing, found, ["domain"], UPSERT_COLUMNS)
+
+
+def upsert_daily(existing: DataFrame, counters: DataFrame) -> DataFrame:
+    """The daily table after a run: the counters of the day replace, other columns keep their first value."""
+    return upsert(existing, counters, ["date"], COUNTERS)
+
+
 def ratio_text() -> Column:
     """One-line summary of a counters row."""
     n = lambda c: F.format_number(F.col(c), 0)

@@ -173,7 +173,8 @@ _STAGES = {
     **SNAP,
     "evidence": _J2,
     "staged": f"""
-        SELECT c.domain, c.first_seen, c.not_before, matched_brand, match_method, similarity_score, registration_date, registrar, nameservers,
+        SELECT c.domain, c.first_seen, c.not_before, matched_brand, match_method, similarity_score, registration_date,
+               CASE WHEN registration_date IS NOT NULL THEN registrar END AS registrar, CASE WHEN registration_date IS NOT NULL THEN nameservers END AS nameservers,
                {AGE} AS age, coalesce(p.status_code < 400, false) AS is_live, p.status_code,
                coalesce(b.status = 'listed' AND b.checked_at > {NOW_SQL} - INTERVAL 12 HOUR, false) AS in_blacklist,
                split_part(c.domain, '.', -1) AS tld
@@ -190,27 +191,59 @@ def tagged(i: Inputs):
     return funnel.run_funnel(i.ct_raw, i.watch, rdap(i), blacklist(i), probe(i), now())
 
 
-@query(
-    "p3_p4_funnel_findings",
-    """SELECT domain, strftime(coalesce(not_before, first_seen), '%Y-%m-%d %H:%M:%S') AS first_seen, registration_date AS registered_at, registrar, nameservers, matched_brand, match_method,
+def _findings_sql(scored: str, at: str) -> str:
+    return f"""SELECT domain, strftime(coalesce(not_before, first_seen), '%Y-%m-%d %H:%M:%S') AS first_seen, registration_date AS registered_at, registrar, nameservers, matched_brand, match_method,
               CAST(risk_score AS INTEGER) AS risk_score, CASE WHEN risk_score >= 70 THEN 'INDIKASI PENIPUAN' WHEN risk_score > 39 THEN 'HATI-HATI' ELSE 'AMAN' END AS risk_level,
               is_live, CAST(status_code AS INTEGER) AS last_status_code,
               concat_ws(' ', CASE WHEN age < 7 THEN 'Domain was registered ' || age || ' days ago, a strong sign of a throw-away fraud site.'
                                   WHEN age < 30 THEN 'Domain is less than one month old (' || age || ' days).' END,
-                        'The address imitates ''' || matched_brand || ''' but is not that institution''s domain.',
+                        'The address imitates \'\'' || matched_brand || '\'\' but is not that institution\'\'s domain.',
                         CASE WHEN tld IN ('xyz', 'top') THEN 'Uses a high-risk domain extension (.' || tld || ').' END,
                         CASE WHEN is_live THEN 'The domain answers (live).' END, CASE WHEN in_blacklist THEN 'Listed on the public blacklist.' END) AS reasoning,
-              in_blacklist AS in_public_blacklist_at_detection, '2001-12-01 12:00:00' AS blacklist_checked_at
-       FROM scored WHERE escalated AND risk_score >= 40""",
-    _STAGES,
-)
-def p3(i: Inputs):
-    out = funnel.findings(tagged(i), now())
+              in_blacklist AS in_public_blacklist_at_detection, '{at}' AS blacklist_checked_at
+       FROM {scored} WHERE escalated AND risk_score >= 40"""
+
+
+def _dated(out):
     for c in ("first_seen", "blacklist_checked_at"):
         out = out.withColumn(c, F.date_format(c, ISO))
     return out
 
 
+@query("p3_p4_funnel_findings", _findings_sql("scored", NOW), _STAGES)
+def p3(i: Inputs):
+    return _dated(funnel.findings(tagged(i), now()))
+
+
+# An earlier run of the funnel over part of the hosts, then the run of now over more of them.
+EARLIER = "2001-11-28 12:00:00"
+_RUNS = {
+    **_STAGES,
+    **{f"{k}_then": _STAGES[k].replace(NOW, EARLIER).replace("JOIN evidence e", "JOIN evidence_then e").replace("FROM staged", "FROM staged_then") for k in ("evidence", "staged", "scored")},
+    "old": _findings_sql("scored_then", EARLIER) + " AND first_seen < TIMESTAMP '1996-01-01 00:00:00'",
+    "new": _findings_sql("scored", NOW) + " AND first_seen < TIMESTAMP '1997-01-01 00:00:00'",
+}
+_FIRST = ["first_seen", "registered_at", "registrar", "nameservers", "matched_brand", "match_method", "in_public_blacklist_at_detection", "blacklist_checked_at"]
+
+
+@query(
+    "p3_w2_funnel_upsert",
+    "SELECT coalesce(o.domain, n.domain) AS domain, "
+    + ", ".join(f"CASE WHEN o.domain IS NOT NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in _FIRST)
+    + ", "
+    + ", ".join(f"CASE WHEN n.domain IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in funnel.UPSERT_COLUMNS)
+    + " FROM old o FULL JOIN new n ON o.domain = n.domain",
+    _RUNS,
+)
+def p3_w2(i: Inputs):
+    """Two runs of the funnel into one findings table."""
+    before = lambda d: i.ct_raw.where(F.col("first_seen") < F.lit(d).cast("timestamp"))
+    then = F.lit(EARLIER).cast("timestamp")
+    old = funnel.run_funnel(before("1996-01-01"), i.watch, rdap(i), blacklist(i), probe(i), then)
+    new = funnel.run_funnel(before("1997-01-01"), i.watch, rdap(i), blacklist(i), probe(i), now())
+    return funnel.upsert_findings(_dated(funnel.findings(old, then)), _dated(funnel.findings(new, now())))
+
+
 @query(
     "a3_funnel_day_counters",
     """SELECT strftime(d, '%Y-%m-%d') AS date, domains_scanned, coalesce(t1, 0) AS tahap1_passed, coalesce(t2, 0) AS tahap2_passed, coalesce(t2, 0) AS tahap3_assessed,
@@ -225,6 +258,34 @@ def a3(i: Inputs):
     return funnel.day_counters(i.ct_raw, tagged(i)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
+_EMPTY_DAY = "1970-01-01"
+
+
+@query(
+    "a3_w3_daily_upsert",
+    f"""SELECT coalesce(o.date, n.date) AS date, {', '.join(f"CASE WHEN n.date IS NOT NULL THEN n.{c} ELSE o.{c} END AS {c}" for c in funnel.COUNTERS)},
+               coalesce(o.messages_analyzed, 0) AS messages_analyzed
+        FROM (SELECT * FROM daily_stats) o FULL JOIN (
+          SELECT strftime(d, '%Y-%m-%d') AS date, domains_scanned, coalesce(t1, 0) AS tahap1_passed, coalesce(t2, 0) AS tahap2_passed, coalesce(t2, 0) AS tahap3_assessed,
+                 coalesce(fl, 0) AS domains_flagged, coalesce(lv, 0) AS domains_live, coalesce(nb, 0) AS flagged_not_in_blacklist
+          FROM (SELECT CAST(first_seen AS DATE) AS d, count(*) AS domains_scanned FROM ct_raw GROUP BY 1) s
+          LEFT JOIN (SELECT CAST(first_seen AS DATE) AS d, count(*) AS t1, count(*) FILTER (escalated) AS t2, count(*) FILTER (escalated AND risk_score >= 40) AS fl,
+                            count(*) FILTER (escalated AND risk_score >= 40 AND is_live) AS lv, count(*) FILTER (escalated AND risk_score >= 40 AND NOT in_blacklist) AS nb
+                     FROM scored GROUP BY 1) t USING (d)
+          UNION ALL SELECT '{_EMPTY_DAY}', 0, 0, 0, 0, 0, 0, 0) n ON o.date = n.date""",
+    _STAGES,
+)
+def a3_w3(i: Inputs):
+    """The funnel's counters of all days and of one day without a host, into the daily table."""
+    counters = funnel.day_counters(i.ct_raw, tagged(i))
+    rows = counters.unionByName(funnel.counters_of_day(counters.limit(0), _EMPTY_DAY)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    old = i.daily_stats
+    for c in set(funnel.COUNTERS) - set(old.columns):
+        old = old.withColumn(c, F.lit(0).cast("bigint"))
+    out = funnel.upsert_daily(old.select("date", *funnel.COUNTERS, "messages_analyzed"), rows)
+    return out.withColumn("messages_analyzed", F.coalesce("messages_analyzed", F.lit(0)))
+
+
 @query(
     "f22_f24_risk_scores",
     """SELECT risk_score, CASE WHEN risk_score >= 70 THEN 'INDIKASI PENIPUAN' WHEN risk_score > 39 THEN 'HATI-HATI' ELSE 'AMAN' END AS risk_level, count(*) AS n
