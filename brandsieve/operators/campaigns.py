@@ -63,29 +63,38 @@ def label_findings(findings: DataFrame) -> DataFrame:
     """Every finding with cluster_type and cluster_key (null when in no cluster).
 
     Recomputed from scratch: a finding in a name-server cluster is never considered for a brand cluster.
-    Cluster tables are joined without a hint; both hold one row per cluster.
+    Cluster tables hold one row per cluster and are joined without a hint: small ones are broadcast by
+    their measured size, and in a shuffle the hot key of one large cluster is split by skew handling.
     """
-    by_ns = nameserver_clusters(findings).select(F.col("cluster_key").alias("ns_key"))
+    by_ns = nameserver_clusters(findings).select(F.col("cluster_key").alias("_sig"), F.lit(True).alias("_in_ns"))
     rows = (
         findings.withColumn("_sig", nameserver_signature(F.col("nameservers")))
-        .join(by_ns, F.col("_sig") == F.col("ns_key"), "left")
         .withColumn("_brand", F.when(F.col("matched_brand") != "", F.lower(strip(F.col("matched_brand")))))
         .withColumn("_method", F.lower(strip(F.coalesce("match_method", F.lit("")))))
     )
-    loose = rows.where(F.col("ns_key").isNull() & F.col("_brand").isNotNull()).select("_brand", "_method", "first_seen")
+    # rows without a signature, and those without a brand, have nothing to look up and skip the joins
+    signed = rows.where(F.col("_sig").isNotNull()).join(by_ns, "_sig", "left")
+    unsigned = rows.where(F.col("_sig").isNull()).withColumn("_in_ns", F.lit(None).cast("boolean"))
+    rows = signed.unionByName(unsigned)
+    free = F.col("_in_ns").isNull() & F.col("_brand").isNotNull()
+    loose = rows.where(free)
     by_brand = (
-        largest_windows(loose, ["_brand", "_method"])
+        largest_windows(loose.select("_brand", "_method", "first_seen"), ["_brand", "_method"])
         .where(F.col("member_count") >= MIN_BRAND_CLUSTER)
         .select("_brand", "_method", "window_start_us", "window_end_us")
     )
-    inside = F.col("ns_key").isNull() & F.unix_micros("first_seen").between(F.col("window_start_us"), F.col("window_end_us"))
-    return rows.join(by_brand, ["_brand", "_method"], "left").select(
+    inside = F.unix_micros("first_seen").between(F.col("window_start_us"), F.col("window_end_us"))
+    by_window = loose.join(by_brand, ["_brand", "_method"], "left").select(
         *findings.columns,
-        F.when(F.col("ns_key").isNotNull(), "nameserver").when(inside, "brand_pattern").alias("cluster_type"),
-        F.when(F.col("ns_key").isNotNull(), F.col("ns_key"))
-        .when(inside, F.concat_ws("|", "_brand", "_method"))
-        .alias("cluster_key"),
+        F.when(inside, "brand_pattern").alias("cluster_type"),
+        F.when(inside, F.concat_ws("|", "_brand", "_method")).alias("cluster_key"),
     )
+    others = rows.where(~free).select(
+        *findings.columns,
+        F.when(F.col("_in_ns"), "nameserver").alias("cluster_type"),
+        F.when(F.col("_in_ns"), F.col("_sig")).alias("cluster_key"),
+    )
+    return others.unionByName(by_window)
 
 
 def campaigns(labelled: DataFrame, now: Column) -> DataFrame:

@@ -105,8 +105,9 @@ def tactic_distribution(findings: DataFrame) -> DataFrame:
         F.count("*").alias("count")
     )
     pairs = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("method")) for k, v in TACTICS.items()])
-    # one row with everything counted, then four rows out of it
-    one = counts.agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(F.struct("method", "count"))).alias("by"))
+    # one row with everything counted, then four rows out of it; only the tactics' own methods are gathered
+    known = F.when(F.col("method").isin(list(TACTICS.values())), F.struct("method", "count"))
+    one = counts.agg(F.sum("count").alias("total"), F.map_from_entries(F.collect_list(known)).alias("by"))
     c = F.coalesce(F.try_element_at("by", F.col("t.method")), F.lit(0))
     return one.select("total", "by", F.explode(pairs).alias("t")).select(
         F.col("t.id").alias("id"), c.alias("count"), pct(c, F.coalesce("total", F.lit(0))).alias("pct")
