@@ -55,3 +55,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a reliable checkpoint in the folder all executors share."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+#: A key with more than one in HOT_SHARE of all rows is hot; there are fewer than HOT_SHARE such keys.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row per ``key`` of ``groups``, whose ``size`` counts the key's rows.
+
+    Hot keys, fewer than HOT_SHARE by their definition, are broadcast and their rows stay where they
+    are; the rows of all other keys are shuffled. ``total`` is the number of rows of all keys.
+    """
+    hot = F.broadcast(groups.where(F.col(size) * HOT_SHARE > total))
+    cold = groups.where(F.col(size) * HOT_SHARE <= total)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brandsieve.llm.common import ROW, ascii_lower, body, checkpointed, packed, unpacked
+from brandsieve.llm.common import ROW, ascii_lower, body, checkpointed, join_groups, packed, unpacked
 
 #: Largest filter. It is broadcast as at most MAX_BITS / 64 rows of two longs (2 097 152 rows, about
 #: 100 MB in memory); with more texts than it can tell apart, more rows are shuffled, none is lost.
@@ -78,15 +78,16 @@ def dedup_decisions(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     ``docs`` are ignored.
     """
     digests = checkpointed(docs.select(docs["doc_id"], text_digest(body(docs)).alias("digest")))
-    bits = filter_bits(digests.count(), max_bits)
-    flagged = flag_possible(digests, repeated_filter(digests, bits), bits)
+    rows = digests.count()
+    bits = filter_bits(rows, max_bits)
+    flagged = flag_possible(digests, checkpointed(repeated_filter(digests, bits)), bits)
     straight = flagged.where("NOT possible").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256")
     )
-    per_id = _groups(flagged.where("possible"))
-    groups = flagged.where("possible").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    per_id = checkpointed(_groups(flagged.where("possible")))
+    groups = checkpointed(per_id.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")))
     compared = (
-        per_id.join(groups, "digest")
+        join_groups(per_id, groups, "digest", "group_size", rows)
         .select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
         .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.col("digest").alias("text_sha256"))
     )
