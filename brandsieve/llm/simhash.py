@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brandsieve.llm.common import ROW, checkpointed, packed, unpacked
+from brandsieve.llm.common import ROW, checkpointed, join_groups, packed, unpacked
 from brandsieve.llm.components import components
 
 BITS = 64
@@ -148,13 +148,13 @@ def grouped(docs: DataFrame, shingle: int = 3, radius: int = 2, extra: dict | No
     table gives an empty result. Columns other than doc_id and text are not read.
     """
     each = checkpointed(fingerprints(docs, shingle, extra))
-    distinct = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")))
     labels = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     met = distinct.join(labels, "fp")
     least = met.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = met.join(least, "component").select("fp", F.struct("component_id").alias("linked"))
-    named = distinct.join(linked, "fp", "left").select("fp", F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("linked")["component_id"]).alias("component_id"))
-    return each.join(named, "fp")
+    named = distinct.join(linked, "fp", "left").select("fp", "rows", F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("linked")["component_id"]).alias("component_id"))
+    return join_groups(each, checkpointed(named), "fp", "rows", each.count()).drop("rows")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
