@@ -1,30 +1,29 @@
 """Structured Streaming forms of intake and funnel.
 
 Batches are written under their batch id in overwrite mode, so a replay after a lost executor or
-driver replaces its own output. State and offsets live in the query's checkpoint location, on the
-cluster's shared storage.
+driver replaces its own output. State is bounded by watermarks; what comes back after the delay is met
+at the sink. State and offsets live in the query's checkpoint location, on the cluster's shared storage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brandsieve.functions.domains import normalize_domain
-from brandsieve.operators.brand_match import find_similar
-from brandsieve.operators.upsert import insert_if_absent
+from brandsieve.operators.upsert import insert_if_absent, latest_per_key
+from brandsieve.plans import funnel
 
 LATE_BY = "26 hours"
 
 
-def first_sight(certs: DataFrame, late_by: str | None = None) -> DataFrame:
-    """One row per host. With ``late_by`` the state is bounded by that delay on ``not_before``;
-    repeats beyond it are for the sink's anti-join. Without it the state keeps every host."""
+def first_sight(certs: DataFrame, late_by: str = LATE_BY) -> DataFrame:
+    """One row per host within ``late_by`` of ``not_before``; repeats beyond it are for the sink's anti-join."""
     rows = certs.withColumn("domain", normalize_domain(F.col("raw_name")))
-    if late_by:
-        return rows.withWatermark("not_before", late_by).dropDuplicatesWithinWatermark(["domain"])
-    return rows.dropDuplicates(["domain"])
+    return rows.withWatermark("not_before", late_by).dropDuplicatesWithinWatermark(["domain"])
 
 
 def day_counts(rows: DataFrame, at: str = "first_seen", late_by: str = LATE_BY) -> DataFrame:
@@ -42,38 +41,65 @@ def brand_bursts(rows: DataFrame, brand: str, at: str = "first_seen", late_by: s
     )
 
 
+def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str) -> StreamingQuery:
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < batch_id)
+
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what has landed and stop; in complete mode the one output folder is replaced."""
+def run_first_sight(certs: DataFrame, path: str, checkpoint: str, late_by: str = LATE_BY) -> StreamingQuery:
+    """Hosts not seen before, appended batch by batch; the anti-join meets those that the state has forgotten."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = path if mode == "complete" else f"{path}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(target)
+        hosts = batch.select("domain", "not_before")
+        if batch_id > 0:
+            hosts = insert_if_absent(_earlier(batch.sparkSession, path, batch_id), hosts, "domain")
+        hosts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _run(first_sight(certs, late_by), write, checkpoint, "append")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Changed rows of an aggregation, batch by batch; ``current`` reads the newest of each key."""
 
-def run_matching(certs: DataFrame, watch: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Match new hosts batch by batch: distinct hosts of the batch, minus hosts matched before, then the brand match.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    ``path/seen`` keeps the hosts, ``path/matches`` the matches, each in a folder per batch.
+    return _run(stream, write, checkpoint, "update")
+
+
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows in force of what ``run_updates`` has written."""
+    return latest_per_key(spark.read.option("basePath", path).parquet(path), keys, ["batch_id"]).drop("batch_id")
+
+
+def run_funnel_stream(
+    certs: DataFrame, watch: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column, path: str, checkpoint: str,
+    late_by: str = LATE_BY,
+) -> StreamingQuery:
+    """The whole funnel on what is new in each batch, upserted into the findings table.
+
+    Each batch writes the table's next version under its id from the version before it, so a replayed
+    batch gives the same version again. Hosts repeat within the watermark only; a host that comes back
+    later takes a new look and updates its finding.
     """
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        hosts = batch.select(normalize_domain(F.col("raw_name")).alias("domain")).distinct()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        hosts = batch.groupBy("domain").agg(F.min("seen_at").alias("first_seen"), F.min("not_before").alias("not_before"))
+        found = funnel.findings(funnel.run_funnel(hosts, watch, rdap, blacklist, probes, now), now)
         if batch_id > 0:
-            earlier = spark.read.option("basePath", f"{path}/seen").parquet(f"{path}/seen").where(F.col("batch_id") < batch_id)
-            hosts = insert_if_absent(earlier, hosts, "domain")
-        # written before it is used, so the match reads a table and not the anti-join's lineage
-        hosts.write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
-        fresh = spark.read.parquet(f"{path}/seen/batch_id={batch_id}")
-        find_similar(fresh, watch).write.mode("overwrite").parquet(f"{path}/matches/batch_id={batch_id}")
-
-    query = certs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+            found = funnel.upsert_findings(batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}"), found)
+        found.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
+    return _run(first_sight(certs, late_by), write, checkpoint, "append")
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The findings table as the last batch left it."""
+    versions = spark.read.option("basePath", path).parquet(path)
+    last = versions.agg(F.max("version").alias("version"))  # one row
+    return versions.join(F.broadcast(last), "version").drop("version")

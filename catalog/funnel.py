@@ -210,7 +210,10 @@ def _dated(out):
     return out
 
 
-@query("p3_p4_funnel_findings", _findings_sql("scored", NOW), _STAGES)
+STAGES, FINDINGS_SQL = _STAGES, _findings_sql("scored", NOW)
+
+
+@query("p3_p4_funnel_findings", FINDINGS_SQL, STAGES)
 def p3(i: Inputs):
     return _dated(funnel.findings(tagged(i), now()))
 

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from brandsieve.streaming import jobs
+from catalog.funnel import FINDINGS_SQL, STAGES, blacklist, now, probe, rdap
 from catalog.landing import shared_folder
 from catalog.registry import Inputs, query
-from catalog.sqlparts import MATCH
 
 
 FILES, FILES_PER_BATCH = 8, 3
+# The tables are replayed in no order of time, so no certificate of these years counts as late.
+REPLAY = "36500 days"
 
 
 def _folder(i: Inputs, name: str) -> str:
@@ -34,15 +36,15 @@ def _event_stream(i: Inputs):
 @query("t1_first_sight_stream", "SELECT DISTINCT host AS domain FROM cert")
 def t1(i: Inputs):
     out = _folder(i, "t1")
-    jobs.run_available(jobs.first_sight(_cert_stream(i)).select("domain"), out, out + "-ckpt")
+    jobs.run_first_sight(_cert_stream(i), out, out + "-ckpt", REPLAY)
     return i.spark.read.parquet(out).select("domain")
 
 
 @query("t2_day_counts_stream", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1")
 def t2(i: Inputs):
     out = _folder(i, "t2")
-    jobs.run_available(jobs.day_counts(_event_stream(i), "ts"), out, out + "-ckpt", "complete")
-    return i.spark.read.parquet(out).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "n")
+    jobs.run_updates(jobs.day_counts(_event_stream(i), "ts"), out, out + "-ckpt")
+    return jobs.current(i.spark, out, ["window"]).select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "n")
 
 
 @query(
@@ -52,12 +54,17 @@ def t2(i: Inputs):
 )
 def t3(i: Inputs):
     out = _folder(i, "t3")
-    jobs.run_available(jobs.brand_bursts(_event_stream(i), "event_type", "ts"), out, out + "-ckpt", "complete")
-    return i.spark.read.parquet(out).select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "event_type", "n")
+    jobs.run_updates(jobs.brand_bursts(_event_stream(i), "event_type", "ts"), out, out + "-ckpt")
+    rows = jobs.current(i.spark, out, ["window", "event_type"])
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "event_type", "n")
 
 
-@query("t4_matching_stream", "SELECT * FROM matched", MATCH)
+_COLUMNS = ["domain", "matched_brand", "match_method", "risk_score", "risk_level", "is_live", "last_status_code"]
+
+
+@query("t4_matching_stream", f"SELECT {', '.join(_COLUMNS)} FROM ({FINDINGS_SQL}) f", STAGES)
 def t4(i: Inputs):
+    """The funnel batch by batch: several batches, hosts that come back, one table."""
     out = _folder(i, "t4")
-    jobs.run_matching(_cert_stream(i), i.watch, out, out + "-ckpt")
-    return i.spark.read.option("basePath", f"{out}/matches").parquet(f"{out}/matches").drop("batch_id")
+    jobs.run_funnel_stream(_cert_stream(i), i.watch, rdap(i), blacklist(i), probe(i), now(), out, out + "-ckpt", REPLAY)
+    return jobs.newest_version(i.spark, out).select(*_COLUMNS)
