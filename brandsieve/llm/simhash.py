@@ -142,8 +142,9 @@ def links(fps: DataFrame, radius: int = 2, large: int = LARGE) -> DataFrame:
 
 
 def grouped(docs: DataFrame, shingle: int = 3, radius: int = 2, extra: dict | None = None) -> DataFrame:
-    """Per row of ``docs``: doc_id, fp, component_id (and ``extra``); the smallest doc_id reachable over links.
+    """Per row of ``docs``: doc_id, fp, component (its least fingerprint), component_id (and ``extra``).
 
+    ``component_id`` is the smallest doc_id reachable over links.
     Null ids are left out of the minimum; a component without any id has a null component. An empty
     table gives an empty result. Columns other than doc_id and text are not read.
     """
@@ -152,8 +153,9 @@ def grouped(docs: DataFrame, shingle: int = 3, radius: int = 2, extra: dict | No
     labels = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     met = distinct.join(labels, "fp")
     least = met.groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = met.join(least, "component").select("fp", F.struct("component_id").alias("linked"))
-    named = distinct.join(linked, "fp", "left").select("fp", "rows", F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("linked")["component_id"]).alias("component_id"))
+    linked = met.join(least, "component").select("fp", F.struct("component", "component_id").alias("linked"))
+    component = F.coalesce(F.col("linked")["component"], F.col("fp")).alias("component")
+    named = distinct.join(linked, "fp", "left").select("fp", "rows", component, F.when(F.col("linked").isNull(), F.col("least")).otherwise(F.col("linked")["component_id"]).alias("component_id"))
     return join_groups(each, checkpointed(named), "fp", "rows", each.count()).drop("rows")
 
 
@@ -163,20 +165,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def keep_representatives(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each component of ``grouped``; see ``representatives``."""
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return representatives(docs, grouped(docs, shingle, radius, {"body": key}).select("doc_id", "body", "component"))
+
+
+def representatives(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id (nulls last).
 
+    ``rows`` has doc_id, body (the hash of the text) and a component that is never null, per row.
     Ids need not be unique: rows are told apart by id and text hash, and of rows equal in both the
     first is taken. All columns are kept. Only rows of components of two and more meet in a shuffle of
     narrow keys; whole rows are filtered by the keys of those that go.
     """
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
-    rows = checkpointed(grouped(docs, shingle, radius, {"body": key}).select("doc_id", "body", "fp", "component_id"))
-    groups = rows.groupBy("component_id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
-    per_key = rows.groupBy("component_id", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
+    rows = checkpointed(rows)
+    groups = rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    per_key = rows.groupBy("component", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
     going = (
         per_key.alias("k")
-        .join(groups.where("rows > 1").alias("g"), F.col("k.component_id").eqNullSafe(F.col("g.component_id")))
+        .join(groups.where("rows > 1").alias("g"), F.col("k.component") == F.col("g.component"))
         .select("k.doc_id", "k.body", "k.n", (F.col("k.doc_id").eqNullSafe(F.col("g.first.doc_id")) & (F.col("k.body") == F.col("g.first.body"))).alias("stays"))
         .where("NOT stays OR n > 1")
     )
