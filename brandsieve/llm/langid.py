@@ -17,15 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve.llm import chars
+from brandsieve.llm.common import checkpointed
 
 BITS = 16  # of a subword's bucket
 DIMENSIONS = 16
 EPOCHS = 5
 RATE = 0.5
-#: Bounds of the training sample, which is gathered on the driver: rows per language, languages (the
-#: most frequent). A row comes as the counts of its buckets, at most 2^BITS of them.
+#: Bounds of the training sample, which is gathered on the driver: rows per language, and rows in all,
+#: which many languages share evenly. Every language is learned, from one row at least. A row comes as
+#: the counts of its buckets, at most 2^BITS of them.
 ROWS_PER_LANGUAGE = 800
-LANGUAGES = 64
+ROWS = 64 * ROWS_PER_LANGUAGE
 #: Share of right predictions that may fall below the rejection threshold, and the threshold's limit.
 LOSS = 0.0005
 HIGHEST_THRESHOLD = 0.5
@@ -85,22 +87,22 @@ def _snippet(text: str, key: int) -> str:
 def training_bags(docs: DataFrame) -> DataFrame:
     """(lang, key, part, buckets, shares): a bounded sample of the rows one may learn from.
 
-    Rows are drawn by a hash, so that each language has about ROWS_PER_LANGUAGE, with a limit for the
-    sum. Each gives two bags: of its whole text and of a snippet.
+    Rows are drawn by a hash, so that each language has about ROWS_PER_LANGUAGE, or its part of ROWS with
+    many languages; the row of the least hash is always drawn. Each gives two bags: of its whole text
+    and of a snippet.
     """
     rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["lang"].alias("lang"))
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = {r["lang"]: min(1.0, ROWS_PER_LANGUAGE / r["count"]) for r in counts}
-    key = F.xxhash64(F.lit(11), "doc_id", "text")
-    chance = F.lit(0.0)
-    for lang, s in share.items():
-        chance = F.when(F.col("lang") == lang, F.lit(s)).otherwise(chance)
+    rows = rows.withColumn("key", F.xxhash64(F.lit(11), "doc_id", "text"))
+    counts = checkpointed(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")))
+    languages = max(1, counts.count())
+    each = max(1, min(ROWS_PER_LANGUAGE, ROWS // languages))
+    drawn = F.pmod(F.shiftrightunsigned("key", 20), F.lit(1 << 20)) * F.col("n") < each * (1 << 20)
     sample = (
-        rows.withColumn("key", key)
-        .where(F.pmod(F.shiftrightunsigned("key", 20), F.lit(1 << 20)) < chance * (1 << 20))
+        rows.join(F.broadcast(counts), "lang")  # a row per language
+        .where(drawn | (F.col("key") == F.col("least")))
         .select("lang", "key", "text")
-        .limit(2 * ROWS_PER_LANGUAGE * max(1, len(share)))
+        .dropDuplicates(["lang", "key"])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,14 +131,14 @@ def train(docs: DataFrame, seed: int = 5) -> Model:
     if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
     x = [(np.frombuffer(b, np.uint16), np.frombuffer(s, np.float32)) for _, _, _, b, s in sample]
-    y = np.array([languages.index(r[0]) for r in sample])
+    place = {name: i for i, name in enumerate(languages)}
+    y = np.array([place[r[0]] for r in sample])
     aside = np.array([r[1] % 5 == 0 for r in sample])
+    aside &= np.isin(y, y[~aside])  # a language without any other row is learned from these
     rng = np.random.default_rng(seed)
     embeddings = rng.uniform(-1, 1, (1 << BITS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     softmax, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     learned = np.nonzero(~aside)[0]
-    if not len(learned):
-        learned = np.arange(len(y))
     steps, step = EPOCHS * len(learned), 0
     for _ in range(EPOCHS):
         for i in rng.permutation(learned):
