@@ -1,8 +1,8 @@
 """Structured Streaming forms of intake and funnel.
 
 Batches are written under their batch id in overwrite mode, so a replay after a lost executor or
-driver replaces its own output. State is bounded by watermarks; what comes back after the delay is met
-at the sink. State and offsets live in the query's checkpoint location, on the cluster's shared storage.
+driver replaces its own output. The state of counts is bounded by watermarks; hosts are met at the sink.
+State and offsets live in the query's checkpoint location, on the cluster's shared storage.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ from brandsieve.plans import funnel
 LATE_BY = "26 hours"
 
 
-def first_sight(certs: DataFrame, late_by: str = LATE_BY) -> DataFrame:
-    """One row per host within ``late_by`` of ``not_before``; repeats beyond it are for the sink's anti-join."""
-    rows = certs.withColumn("domain", normalize_domain(F.col("raw_name")))
-    return rows.withWatermark("not_before", late_by).dropDuplicatesWithinWatermark(["domain"])
+def hosts_of(certs: DataFrame) -> DataFrame:
+    """Certificates with their host. No watermark: an old certificate may be the first of its host."""
+    return certs.withColumn("domain", normalize_domain(F.col("raw_name")))
 
 
 def day_counts(rows: DataFrame, at: str = "first_seen", late_by: str = LATE_BY) -> DataFrame:
@@ -51,16 +50,19 @@ def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < batch_id)
 
 
-def run_first_sight(certs: DataFrame, path: str, checkpoint: str, late_by: str = LATE_BY) -> StreamingQuery:
-    """Hosts not seen before, appended batch by batch; the anti-join meets those that the state has forgotten."""
+def run_first_sight(certs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Hosts not seen before, appended batch by batch, whatever the times of their certificates.
+
+    Nothing is kept as state; each batch is held against what the batches before it wrote.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        hosts = batch.select("domain", "not_before")
+        hosts = batch.groupBy("domain").agg(F.min("not_before").alias("not_before"))
         if batch_id > 0:
             hosts = insert_if_absent(_earlier(batch.sparkSession, path, batch_id), hosts, "domain")
         hosts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _run(first_sight(certs, late_by), write, checkpoint, "append")
+    return _run(hosts_of(certs), write, checkpoint, "append")
 
 
 def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -79,23 +81,24 @@ def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 def run_funnel_stream(
     certs: DataFrame, watch: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column, path: str, checkpoint: str,
-    late_by: str = LATE_BY,
 ) -> StreamingQuery:
     """The whole funnel on what is new in each batch, upserted into the findings table.
 
     Each batch writes the table's next version under its id from the version before it, so a replayed
-    batch gives the same version again. Hosts repeat within the watermark only; a host that comes back
-    later takes a new look and updates its finding.
+    batch gives the same version again. A host that comes back takes a new look and updates its finding,
+    whose first_seen is the earliest of all batches that found it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         hosts = batch.groupBy("domain").agg(F.min("seen_at").alias("first_seen"), F.min("not_before").alias("not_before"))
         found = funnel.findings(funnel.run_funnel(hosts, watch, rdap, blacklist, probes, now), now)
         if batch_id > 0:
+            looked = found.select("domain", F.col("first_seen").alias("looked"))
             found = funnel.upsert_findings(batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}"), found)
+            found = found.join(looked, "domain", "left").withColumn("first_seen", F.least("first_seen", "looked")).drop("looked")
         found.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    return _run(first_sight(certs, late_by), write, checkpoint, "append")
+    return _run(hosts_of(certs), write, checkpoint, "append")
 
 
 def newest_version(spark: SparkSession, path: str) -> DataFrame:

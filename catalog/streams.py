@@ -13,8 +13,6 @@ from catalog.registry import Inputs, query
 
 
 FILES, FILES_PER_BATCH = 8, 3
-# The tables are replayed in no order of time, so no certificate of these years counts as late.
-REPLAY = "36500 days"
 
 
 def _folder(i: Inputs, name: str) -> str:
@@ -36,7 +34,7 @@ def _event_stream(i: Inputs):
 @query("t1_first_sight_stream", "SELECT DISTINCT host AS domain FROM cert")
 def t1(i: Inputs):
     out = _folder(i, "t1")
-    jobs.run_first_sight(_cert_stream(i), out, out + "-ckpt", REPLAY)
+    jobs.run_first_sight(_cert_stream(i), out, out + "-ckpt")
     return i.spark.read.parquet(out).select("domain")
 
 
@@ -66,5 +64,5 @@ _COLUMNS = ["domain", "matched_brand", "match_method", "risk_score", "risk_level
 def t4(i: Inputs):
     """The funnel batch by batch: several batches, hosts that come back, one table."""
     out = _folder(i, "t4")
-    jobs.run_funnel_stream(_cert_stream(i), i.watch, rdap(i), blacklist(i), probe(i), now(), out, out + "-ckpt", REPLAY)
+    jobs.run_funnel_stream(_cert_stream(i), i.watch, rdap(i), blacklist(i), probe(i), now(), out, out + "-ckpt")
     return jobs.newest_version(i.spark, out).select(*_COLUMNS)
