@@ -1,6 +1,6 @@
 """Secret scans whose false positives a random forest removes.
 
-Candidates are long runs of token characters and shorter quoted values of a credential's name. A random
+Candidates are long runs of token characters and shorter values of a credential's name. A random
 forest on their length, character transitions, dictionary coverage, path and neighbouring words says
 how likely each is a secret. It is trained on labelled findings. Everything runs as DataFrame
 expressions and Spark's own forest.
@@ -18,10 +18,13 @@ from brandsieve.llm.common import checkpointed
 
 TOKEN = "[A-Za-z0-9+/=_-]"
 NAMES = "token|secret|password|passwd|passphrase|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth"
-#: Candidates: runs of 20 token characters and more; quoted values of 8 to 19 behind a credential's name.
+#: Candidates: values of 8 and more visible characters behind a credential's name and a sign, quoted or
+#: not (the name may be a quoted key), and runs of 20 token characters and more anywhere.
+ASSIGNED = rf"""(?i:{NAMES})["']? {{0,4}}[:=] {{0,4}}"""
 CANDIDATE = (
-    rf"(?<!{TOKEN}){TOKEN}{{20,}}"
-    rf"""|(?<=["'])(?<=(?i:{NAMES.replace("[_-]?", "_")}) ?[:=] ?["']){TOKEN}{{8,19}}(?=["'])"""
+    rf"""(?<=["'])(?<={ASSIGNED}["'])[^\s"']{{8,}}(?=["'])"""
+    rf"""|(?<=[:=] {{0,4}})(?<={ASSIGNED})[^\s"',;<>]{{7,}}[^\s"',;<>.:)]"""
+    rf"|(?<!{TOKEN}){TOKEN}{{20,}}"
 )
 #: Characters of context kept on either side.
 CONTEXT = 64
