@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, decontam, exact_dedup, langid, licenses, quality, secrets, sharding, simhash, toxicity
+from brandsieve.llm import bpe, conversations, decontam, exact_dedup, langid, lexical, licenses, quality, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -96,3 +96,33 @@ def op10(table):
     found = secrets.scan(table("documents"))
     masked = F.concat(F.left("value", F.lit(4)), F.lit("..."))
     return found.select("doc_id", "start", F.length("value").alias("length"), masked.alias("masked"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), "score", "secret")
+
+
+@query("op11_conversation_repair")
+def op11(table):
+    return conversations.repair(table("conversations"))
+
+
+TERMS = r"list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"
+
+
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS d, doc_id, {TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+    sizes AS (SELECT d, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+    total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+    i AS (SELECT row_number() OVER () AS i, item_id, list_distinct({TERMS}) AS ts FROM benchmark WHERE text IS NOT NULL),
+    it AS (SELECT i, item_id, unnest(ts) AS t FROM i),
+    tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM d) AS u WHERE t IN (SELECT t FROM it) GROUP BY ALL),
+    w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t) AS c, total),
+    scored AS (
+        SELECT i, item_id, doc_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words)))) AS BIGINT) AS score
+        FROM it JOIN tf USING (t) JOIN w USING (t) JOIN sizes USING (d), total GROUP BY ALL
+    ),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+    """,
+)
+def op13(table):
+    return lexical.search(table("documents"), table("benchmark"))
