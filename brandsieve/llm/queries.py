@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brandsieve.llm import bpe, conversations, decontam, exact_dedup, langid, lexical, licenses, quality, secrets, sharding, simhash, toxicity
+from brandsieve.llm import bpe, conversations, decontam, exact_dedup, langid, lexical, licenses, mixing, quality, secrets, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -103,6 +103,11 @@ def op11(table):
     return conversations.repair(table("conversations"))
 
 
+@query("op12_lm_scoring")
+def op12(table):
+    return mixing.score(table("documents"))
+
+
 TERMS = r"list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')"
 
 
