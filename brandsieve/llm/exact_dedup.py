@@ -39,16 +39,23 @@ def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
 def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
     """(word, bits): the positions of the filter that more than one text hits, 64 to a word."""
     first, second = _positions("digest", bits)
-    return (
+    return _filter(
         digests.select(F.explode(F.array_distinct(F.array(first, second))).alias("position"))
         .groupBy("position")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .groupBy(F.shiftright("position", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(position & 63 AS INT))")).alias("bits"))
     )
 
 
+def present_filter(digests: DataFrame, bits: int) -> DataFrame:
+    """(word, bits): the positions of the filter that any digest hits."""
+    return _filter(digests.select(F.explode(F.array(*_positions("digest", bits))).alias("position")))
+
+
+def _filter(positions: DataFrame) -> DataFrame:
+    return positions.groupBy(F.shiftright("position", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(position & 63 AS INT))")).alias("bits"))
+
+
 def flag_possible(rows: DataFrame, repeated: DataFrame, bits: int) -> DataFrame:
     """``rows`` (with ``digest``) plus ``possible``: false if no other text can be equal.
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from brandsieve.llm.common import ROW, checkpointed, join_groups, packed, unpacked
 from brandsieve.llm.components import components
+from brandsieve.llm.exact_dedup import filter_bits, flag_possible, present_filter
 
 BITS = 64
 SEED = 42  # of the shingle hash
@@ -66,10 +67,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, extra: dict | None = None) -
     return source.mapInArrow(run, schema)
 
 
-def covering_masks(radius: int, seed: int = 1) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits; any ``radius`` bits are left out by at least one of them."""
+def covering_masks(radius: int, seed: int = 1, bits: int = BITS) -> list[int]:
+    """2^(radius+1) - 1 masks of ``bits`` bits; any ``radius`` bits are left out by at least one of them."""
     size = 1 << (radius + 1)
-    vectors = [1 + i % (size - 1) for i in range(BITS)]
+    vectors = [1 + i % (size - 1) for i in range(bits)]
     random.Random(seed).shuffle(vectors)
     return [sum(1 << i for i, m in enumerate(vectors) if bin(m & v).count("1") % 2) for v in range(1, size)]
 
@@ -175,22 +176,25 @@ def representatives(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``rows`` has doc_id, body (the hash of the text) and a component that is never null, per row.
     Ids need not be unique: rows are told apart by id and text hash, and of rows equal in both the
-    first is taken. All columns are kept. Only rows of components of two and more meet in a shuffle of
-    narrow keys; whole rows are filtered by the keys of those that go.
+    first is taken. All columns are kept. Rows of components of two and more meet in a shuffle of
+    narrow keys; whole rows are shuffled only where a Bloom filter of the keys that go lets them through.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")
     rows = checkpointed(rows)
-    groups = rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows"))
+    total = rows.count()
+    groups = checkpointed(rows.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     per_key = rows.groupBy("component", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
-    going = (
-        per_key.alias("k")
-        .join(groups.where("rows > 1").alias("g"), F.col("k.component") == F.col("g.component"))
-        .select("k.doc_id", "k.body", "k.n", (F.col("k.doc_id").eqNullSafe(F.col("g.first.doc_id")) & (F.col("k.body") == F.col("g.first.body"))).alias("stays"))
+    first = F.col("first")
+    marks = checkpointed(
+        join_groups(per_key, groups, "component", "rows", total)
+        .withColumn("stays", F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("body") == first["body"]))
         .where("NOT stays OR n > 1")
+        .select(F.col("doc_id").alias("m_id"), F.col("body").alias("m_body"), "stays", F.xxhash64("doc_id", "body").alias("digest"))
     )
-    marks = going.select(F.col("doc_id").alias("m_id"), F.col("body").alias("m_body"), "stays")
-    packed_rows = packed(docs).select(ROW, F.col(ROW)["doc_id"].alias("doc_id"), F.xxhash64(F.coalesce(F.col(ROW)["text"], F.lit(""))).alias("body"))
-    marked = packed_rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("body") == F.col("m_body")), "left")
-    kept = marked.where("stays IS NULL").select(ROW)
-    repeated = marked.where("stays").groupBy("doc_id", "body").agg(F.first(ROW).alias(ROW)).select(ROW)
+    bits = filter_bits(marks.count())
+    marked = packed(docs).select(ROW, F.col(ROW)["doc_id"].alias("doc_id"), F.xxhash64(F.coalesce(F.col(ROW)["text"], F.lit(""))).alias("body"))
+    marked = flag_possible(marked.withColumn("digest", F.xxhash64("doc_id", "body")), checkpointed(present_filter(marks, bits)), bits)
+    maybe = marked.where("possible").join(marks.drop("digest"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("body") == F.col("m_body")), "left")
+    kept = marked.where("NOT possible").select(ROW).unionByName(maybe.where("stays IS NULL").select(ROW))
+    repeated = maybe.where("stays").groupBy("doc_id", "body").agg(F.first(ROW).alias(ROW)).select(ROW)
     return unpacked(kept.unionByName(repeated), docs.columns)

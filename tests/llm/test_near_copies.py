@@ -1,11 +1,15 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brandsieve.llm import near_copies, simhash
 
+from .conftest import ODD
+
 
 def shingle_set(text):
     words = (text or "").encode().lower().split()
@@ -46,16 +50,81 @@ def rows(documents):
     return found + [(top + 300, None), (top + 301, " "), (top + 302, "two words"), (top + 303, "two  WORDS")]
 
 
-@pytest.mark.parametrize("known", [0, 1 << 16])
-def test_near_copies_match_brute_force(make, rows, known, monkeypatch):
-    monkeypatch.setattr(near_copies, "FREQUENT", known)
-    monkeypatch.setattr(near_copies, "BROADCAST_KEYS", known)
+def components_of(rows):
+    """The component number of each row, by brute force."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = []
+    for a, b in combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+            pairs.append((a, b))
+    return [find(i) for i in range(len(rows))], pairs
+
+
+@pytest.mark.parametrize(("large", "heads"), [(2048, 64), (6, 2)])
+def test_links_against_brute_force(make, rows, large, heads):
+    """No link joins texts that are not near copies, and nearly every pair of near copies ends in one component."""
+    docs = make(rows)
+    body = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    each = near_copies._sets(docs, body)
+    node = {r.doc_id: r.node for r in each.collect()}
+    links = near_copies.linked(docs, body, each, large, heads).collect()
+    sets = {node[i]: shingle_set(t) for i, t in rows}
+    for r in links:
+        x, y = sets[r.a], sets[r.b]
+        assert 5 * len(x & y) >= 4 * len(x | y)
+    root = {n: n for n in sets}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for r in links:
+        root[find(r.a)] = find(r.b)
+    _, pairs = components_of(rows)
+    met = [find(node[rows[a][0]]) == find(node[rows[b][0]]) for a, b in pairs]
+    assert len(pairs) > 60 and sum(met) >= 0.9 * len(met)
+
+
+def test_stage_keeps_one_row_of_each_group(make, rows):
     docs = make(rows)
     got = near_copies.keep_representatives(docs)
     kept, groups = brute_force(rows)
+    ids = [r.doc_id for r in got.collect()]
     assert got.columns == docs.columns
-    assert sorted(r.doc_id for r in got.collect()) == sorted(kept)
-    assert groups < len(rows) - 40
+    assert set(kept) <= set(ids)
+    assert len(ids) == len(set(ids)) <= groups + 0.05 * (len(rows) - groups)
+
+
+def test_odd_rows(make):
+    got = near_copies.keep_representatives(make(ODD))
+    kept, groups = brute_force(ODD)
+    assert sorted(r.doc_id or 0 for r in got.collect()) == sorted(i or 0 for i in kept)
+    assert got.count() == groups
+
+
+def test_bits_are_counted_as_a_plain_loop_does():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 11, 12, 500):
+        values = rng.integers(1 << 63, size=(n, 2), dtype=np.uint64) * np.uint64(2)
+        plain = [sum(int(r[w]) >> b & 1 for r in values) for w in (0, 1) for b in range(64)]
+        assert near_copies._ones(values).tolist() == plain
+
+
+def test_masks_cover_every_pair_of_bits():
+    for masks in near_copies._masks():
+        assert len(masks) == 7
+        for i, j in combinations(range(near_copies.BLOCK_BITS), 2):
+            assert any(not m >> i & 1 and not m >> j & 1 for m in masks)
+        assert all(20 <= m.bit_count() <= 26 for m in masks)
 
 
 def test_pipeline_stage_drops_copies_beyond_two_bits(spark, make):

@@ -1,7 +1,8 @@
 import corpus_pipeline
-from brandsieve.llm import decontam, langid, simhash
+from brandsieve.llm import decontam, langid
 
-from .test_dedup import lower, slow_components
+from .test_dedup import lower
+from .test_near_copies import brute_force
 
 
 def test_stages_against_brute_force(spark):
@@ -23,11 +24,7 @@ def test_stages_against_brute_force(spark):
     copies = stages["exact dedup"](spark, known, sf_dir)
     assert {r.doc_id for r in copies.collect()} == {r.doc_id for r in left}
 
-    fps = {}
-    for r in left:
-        f = simhash.fingerprint(r.text)
-        fps.setdefault(f - (1 << 64) * (f >> 63), []).append(r.doc_id)
-    kept = {min(i for f in c for i in fps[f]) for c in slow_components(set(fps))}
+    kept, _ = brute_force([(r.doc_id, r.text) for r in left])
     left = [r for r in left if r.doc_id in kept]
     near = stages["SimHash near-dedup"](spark, copies, sf_dir)
     assert {r.doc_id for r in near.collect()} == kept
