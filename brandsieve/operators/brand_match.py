@@ -255,15 +255,20 @@ def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOC
     )
 
 
-def is_official(hosts: DataFrame, watch: DataFrame) -> DataFrame:
-    """Distinct hosts that are, or sit below, an official domain: an equi-join on the parents.
+def _official(watch: DataFrame) -> tuple[DataFrame, Column]:
+    """The official domains (parent), and the parents of a ``domain`` that may be one.
 
     Only parents with as many labels as some official domain are looked up, so a top-level domain
     that a large share of the hosts has in common is no join key.
     """
     official = watch.select(F.lower(strip(F.col("official_domain"))).alias("parent")).where("parent <> ''").distinct()
     counts = sorted(r[0] for r in official.select(label_count(F.col("parent"))).distinct().collect())  # a few small numbers
-    parents = F.filter(suffixes(F.col("domain")), lambda p: label_count(p).isin(counts))
+    return official, F.filter(suffixes(F.col("domain")), lambda p: label_count(p).isin(counts))
+
+
+def is_official(hosts: DataFrame, watch: DataFrame) -> DataFrame:
+    """Distinct hosts that are, or sit below, an official domain: an equi-join on the parents."""
+    official, parents = _official(watch)
     return (
         hosts.select(clean_domain(F.col("domain")).alias("domain"))
         .distinct()
@@ -274,6 +279,25 @@ def is_official(hosts: DataFrame, watch: DataFrame) -> DataFrame:
     )
 
 
+def without_official(rows: DataFrame, watch: DataFrame) -> DataFrame:
+    """``rows``, one per host, without hosts that ``is_official`` finds.
+
+    Each row looks up its few parents and is put together again, so that its plan is there once.
+    """
+    official, parents = _official(watch)
+    official = official.select(F.col("parent").alias("_parent"), F.lit(True).alias("_official"))
+    rest = [c for c in rows.columns if c != "domain"]
+    return (
+        # a host without such parents looks itself up, in vain, rather than a null key that all would share
+        rows.withColumn("_parent", F.explode(F.when(F.size(parents) > 0, parents).otherwise(F.array("domain"))))
+        .join(official, "_parent", "left")
+        .groupBy("domain")
+        .agg(F.max("_official").alias("_official"), *[F.first(c).alias(c) for c in rest])
+        .where(F.col("_official").isNull())
+        .select(*rows.columns)
+    )
+
+
 def best_match(candidates: DataFrame, watch: DataFrame) -> DataFrame:
     """The one winning hit per host: lowest technique, then that technique's tie keys.
 
@@ -324,12 +348,11 @@ def find_similar(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WO
 
     ``carry`` names columns that come along, so that the matches need no join back to the bulk; of
     several spellings of a host the row that is least in them counts. The official-domain test runs on
-    matched hosts only, so it never touches the bulk of the input.
+    the matched rows only, so it touches neither the bulk of the input nor plans the match again.
     """
     if carry:
         hosts = hosts.select("domain", F.struct(*carry).alias(CARRY))
     else:
         hosts = hosts.select("domain")
-    best = best_match(match_candidates(hosts, watch, block_words), watch)
-    best = best.join(is_official(best, watch), "domain", "left_anti")
+    best = without_official(best_match(match_candidates(hosts, watch, block_words), watch), watch)
     return best.select("*", *[F.col(CARRY)[c].alias(c) for c in carry]).drop(CARRY) if carry else best
