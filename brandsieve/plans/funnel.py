@@ -25,6 +25,12 @@ COUNTERS = [
     "domains_scanned", "tahap1_passed", "tahap2_passed", "tahap3_assessed",
     "domains_flagged", "domains_live", "flagged_not_in_blacklist",
 ]
+#: Columns of the findings table.
+FINDINGS = (
+    "domain string, first_seen timestamp, registered_at string, registrar string, nameservers string, matched_brand string, match_method string, "
+    "risk_score int, risk_level string, is_live boolean, last_status_code int, reasoning string, "
+    "in_public_blacklist_at_detection boolean, blacklist_checked_at timestamp"
+)
 SIGNALS = {"domain_age_days", "watchlist_matched", "is_risky_tld"}
 
 

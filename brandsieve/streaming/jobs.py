@@ -1,8 +1,8 @@
 """Structured Streaming forms of intake and funnel.
 
-Batches are written under their batch id in overwrite mode, so a replay after a lost executor or
-driver replaces its own output. The state of counts is bounded by watermarks; hosts are met at the sink.
-State and offsets live in the query's checkpoint location, on the cluster's shared storage.
+Hosts and findings live in keyed stores: a batch reads and writes the buckets its hosts fall into, and a batch
+that is replayed after a lost driver changes nothing. The state of counts is bounded by watermarks.
+Offsets live in the query's checkpoint location, on the cluster's shared storage.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from brandsieve.functions.domains import normalize_domain
-from brandsieve.operators.upsert import insert_if_absent, latest_per_key
+from brandsieve.operators.upsert import latest_per_key
 from brandsieve.plans import funnel
+from brandsieve.sources.keyed_store import KeyedStore
 
 LATE_BY = "26 hours"
+#: Buckets of a store; more of them let a batch leave more of a large store alone.
+BUCKETS = 64
 
 
 def hosts_of(certs: DataFrame) -> DataFrame:
@@ -46,21 +49,39 @@ def _run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint:
     return query
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).where(F.col("batch_id") < batch_id)
+SEEN = "domain string, not_before timestamp"
 
 
-def run_first_sight(certs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Hosts not seen before, appended batch by batch, whatever the times of their certificates.
+def seen_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedStore:
+    return KeyedStore(spark, path, SEEN, ["domain"], buckets)
 
-    Nothing is kept as state; each batch is held against what the batches before it wrote.
+
+def _earliest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("domain").agg(F.min("not_before").alias("not_before"))
+
+
+def seen_hosts(store: KeyedStore) -> DataFrame:
+    """Every host that has been seen, with the earliest certificate time of all batches."""
+    return _earliest(store.read())
+
+
+def _news(known: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Hosts that are not known, and known ones with an earlier time than before."""
+    before = _earliest(known).select(F.col("domain").alias("_known"), F.col("not_before").alias("_before"))
+    met = hosts.join(before, F.col("domain") == F.col("_known"), "left")
+    earlier = (F.col("not_before") < F.col("_before")) | (F.col("_before").isNull() & F.col("not_before").isNotNull())
+    return met.where(F.col("_known").isNull() | earlier).select("domain", "not_before")
+
+
+def run_first_sight(certs: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Hosts at first sight, batch by batch and in any order of their certificates, into a store of seen hosts.
+
+    A host is added when it comes for the first time, and again only when a certificate turns up that is earlier
+    than all before; nothing is kept as state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        hosts = batch.groupBy("domain").agg(F.min("not_before").alias("not_before"))
-        if batch_id > 0:
-            hosts = insert_if_absent(_earlier(batch.sparkSession, path, batch_id), hosts, "domain")
-        hosts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        seen_store(batch.sparkSession, path, buckets).append(_earliest(batch.where(F.col("domain").isNotNull())), batch_id, _news, _earliest)
 
     return _run(hosts_of(certs), write, checkpoint, "append")
 
@@ -79,30 +100,29 @@ def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return latest_per_key(spark.read.option("basePath", path).parquet(path), keys, ["batch_id"]).drop("batch_id")
 
 
+def findings_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedStore:
+    return KeyedStore(spark, path, funnel.FINDINGS, ["domain"], buckets)
+
+
+def merged_findings(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``upsert_findings``, with the earliest first_seen of all batches that found the host."""
+    looked = found.select("domain", F.col("first_seen").alias("looked"))
+    rows = funnel.upsert_findings(known, found)
+    return rows.join(looked, "domain", "left").withColumn("first_seen", F.least("first_seen", "looked")).drop("looked")
+
+
 def run_funnel_stream(
-    certs: DataFrame, watch: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column, path: str, checkpoint: str,
+    certs: DataFrame, watch: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column, path: str, checkpoint: str, buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """The whole funnel on what is new in each batch, upserted into the findings table.
+    """The whole funnel on the hosts of each batch, upserted into the store of findings.
 
-    Each batch writes the table's next version under its id from the version before it, so a replayed
-    batch gives the same version again. A host that comes back takes a new look and updates its finding,
-    whose first_seen is the earliest of all batches that found it.
+    Of the store only the buckets of hosts that the batch found are read and written. A host that comes back takes
+    a new look and updates its finding.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         hosts = batch.groupBy("domain").agg(F.min("seen_at").alias("first_seen"), F.min("not_before").alias("not_before"))
         found = funnel.findings(funnel.run_funnel(hosts, watch, rdap, blacklist, probes, now), now)
-        if batch_id > 0:
-            looked = found.select("domain", F.col("first_seen").alias("looked"))
-            found = funnel.upsert_findings(batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}"), found)
-            found = found.join(looked, "domain", "left").withColumn("first_seen", F.least("first_seen", "looked")).drop("looked")
-        found.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        findings_store(batch.sparkSession, path, buckets).rewrite(found, batch_id, merged_findings)
 
     return _run(hosts_of(certs), write, checkpoint, "append")
-
-
-def newest_version(spark: SparkSession, path: str) -> DataFrame:
-    """The findings table as the last batch left it."""
-    versions = spark.read.option("basePath", path).parquet(path)
-    last = versions.agg(F.max("version").alias("version"))  # one row
-    return versions.join(F.broadcast(last), "version").drop("version")

@@ -204,7 +204,7 @@ def _findings_sql(scored: str, at: str) -> str:
        FROM {scored} WHERE escalated AND risk_score >= 40"""
 
 
-def _dated(out):
+def dated(out):
     for c in ("first_seen", "blacklist_checked_at"):
         out = out.withColumn(c, F.date_format(c, ISO))
     return out
@@ -215,7 +215,7 @@ STAGES, FINDINGS_SQL = _STAGES, _findings_sql("scored", NOW)
 
 @query("p3_p4_funnel_findings", FINDINGS_SQL, STAGES)
 def p3(i: Inputs):
-    return _dated(funnel.findings(tagged(i), now()))
+    return dated(funnel.findings(tagged(i), now()))
 
 
 # An earlier run of the funnel over part of the hosts, then the run of now over all.
@@ -244,7 +244,7 @@ def p3_w2(i: Inputs):
     part = i.ct_raw.where(F.col("first_seen") < F.lit("1996-01-01").cast("timestamp"))
     old = funnel.run_funnel(part, i.watch, rdap(i), blacklist(i), probe(i), then)
     new = funnel.run_funnel(i.ct_raw, i.watch, rdap(i), blacklist(i), probe(i), now())
-    return funnel.upsert_findings(_dated(funnel.findings(old, then)), _dated(funnel.findings(new, now())))
+    return funnel.upsert_findings(dated(funnel.findings(old, then)), dated(funnel.findings(new, now())))
 
 
 @query(

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from brandsieve.streaming import jobs
-from catalog.funnel import FINDINGS_SQL, STAGES, blacklist, now, probe, rdap
+from catalog.funnel import FINDINGS_SQL, ISO, STAGES, blacklist, dated, now, probe, rdap
 from catalog.landing import shared_folder
 from catalog.registry import Inputs, query
 
@@ -31,11 +31,12 @@ def _event_stream(i: Inputs):
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("t1_first_sight_stream", "SELECT DISTINCT host AS domain FROM cert")
+@query("t1_first_sight_stream", "SELECT host AS domain, strftime(min(not_before), '%Y-%m-%d %H:%M:%S') AS not_before FROM cert GROUP BY host")
 def t1(i: Inputs):
+    """Hosts of several batches in the store of seen hosts, each with its earliest certificate."""
     out = _folder(i, "t1")
     jobs.run_first_sight(_cert_stream(i), out, out + "-ckpt")
-    return i.spark.read.parquet(out).select("domain")
+    return jobs.seen_hosts(jobs.seen_store(i.spark, out)).withColumn("not_before", F.date_format("not_before", ISO))
 
 
 @query("t2_day_counts_stream", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1")
@@ -57,12 +58,9 @@ def t3(i: Inputs):
     return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("window_start"), "event_type", "n")
 
 
-_COLUMNS = ["domain", "matched_brand", "match_method", "risk_score", "risk_level", "is_live", "last_status_code"]
-
-
-@query("t4_matching_stream", f"SELECT {', '.join(_COLUMNS)} FROM ({FINDINGS_SQL}) f", STAGES)
+@query("t4_matching_stream", FINDINGS_SQL, STAGES)
 def t4(i: Inputs):
     """The funnel batch by batch: several batches, hosts that come back, one table."""
     out = _folder(i, "t4")
     jobs.run_funnel_stream(_cert_stream(i), i.watch, rdap(i), blacklist(i), probe(i), now(), out, out + "-ckpt")
-    return jobs.newest_version(i.spark, out).select(*_COLUMNS)
+    return dated(jobs.findings_store(i.spark, out).read())

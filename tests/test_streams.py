@@ -19,6 +19,7 @@ def test_old_certificates_of_new_hosts_are_seen(spark, tmp_path):
         spark.createDataFrame([(n, day + datetime.timedelta(d)) for n, d in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.run_first_sight(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"))
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r.domain for r in got.collect()) == ["a.com", "b.com", "c.com", "d.com"]
-    assert got.select("batch_id").distinct().count() == 3
+    store = jobs.seen_store(spark, str(tmp_path / "out"))
+    got = {r.domain: (r.not_before - day).days for r in jobs.seen_hosts(store).collect()}
+    assert got == {"a.com": 0, "b.com": 9000, "c.com": -400, "d.com": -3000}
+    assert store.version() == 2
