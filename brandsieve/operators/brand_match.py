@@ -1,7 +1,7 @@
 """Brand matching: hosts against watchlist terms, four techniques in strict precedence.
 
-A host is exploded once into tokens, and one equi-join on a *blocking key* finds the watchlist
-words it may resemble:
+A host is exploded into tokens. Each distinct token is matched once, however many hosts have it: an equi-join
+on a *blocking key* finds the watchlist words it may resemble:
 
 ===  =======================================  ========================================
 key  host side                                watchlist side
@@ -16,10 +16,11 @@ twice the budget), then the exact distance for the few pairs left. Distinct word
 and only hits are joined to the brands that use the word.
 
 Words go to the tasks in blocks of bounded size, broadcast one after the other, so a larger watchlist
-takes more passes of the same plan. All of it is map-side: only hits are shuffled, to pick the best
-one per host, and that aggregation combines map-side, so a repeated host is no hot key. Words of five
-to nine letters tolerate one to three edits, so cutting them into segments would leave pieces of one
-or two letters that nearly every label has: the length and the bit sets prune more.
+takes more passes of the same plan over the distinct tokens. Tokens with a hit, few of all, are then joined back to
+the hosts that have them; a token that very many hosts share is one row on its side of that join, and adaptive
+execution splits the hosts' side. Picking the best hit per host combines map-side, so a repeated host is no hot
+key. Words of five to nine letters tolerate one to three edits, so cutting them into segments would leave pieces
+of one or two letters that nearly every label has: the length and the bit sets prune more.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ _TOKENS = "array<struct<kind:int,idx:int,token:string>>"
 
 
 def host_tokens(hosts: DataFrame) -> DataFrame:
-    """Explode hosts into (domain, kind, idx, token, key, mask), with ``_carry`` if the hosts have it."""
+    """Explode hosts into (domain, kind, idx, token), with ``_carry`` if the hosts have it."""
     carry = [c for c in hosts.columns if c == CARRY]
 
     def token(kind: int, idx: Column, text: Column) -> Column:
@@ -98,7 +99,7 @@ def host_tokens(hosts: DataFrame) -> DataFrame:
     folded = F.when(
         F.col("spoofed"), F.transform(labels_of(F.col("folded")), lambda x, i: token(FOLDED, i, x))
     ).otherwise(none)
-    tokens = (
+    return (
         hosts.select(clean_domain(F.col("domain")).alias("domain"), *carry)
         .where(F.col("domain").contains("."))
         .withColumn("forms", unicode_forms(F.col("domain")))
@@ -113,13 +114,17 @@ def host_tokens(hosts: DataFrame) -> DataFrame:
         .select("domain", *carry, F.inline(F.concat(labels, runs, folded)))
         .where(F.length("token") >= MIN_TERM)
     )
+
+
+def distinct_tokens(tokens: DataFrame) -> DataFrame:
+    """The token dictionary: each (kind, token) once, with its blocking key and letters."""
     text, kind = F.col("token"), F.col("kind")
     key = (
         F.when(kind == LABEL, F.concat(F.lit("n:"), F.length(text).cast("string")))
         .when(kind == RUN, F.concat(F.lit("h:"), text))
         .otherwise(F.concat(F.lit("f:"), text))
     )
-    return tokens.withColumn("key", key).withColumn("mask", F.when(kind == LABEL, letter_mask(text)))
+    return tokens.select("kind", "token").distinct().withColumn("key", key).withColumn("mask", F.when(kind == LABEL, letter_mask(text)))
 
 
 def term_roles(terms: DataFrame) -> DataFrame:
@@ -186,9 +191,9 @@ def word_keys(words: DataFrame) -> DataFrame:
 
 
 def block_hits(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(host, token, word) pairs within the word's edit budget, with distance and shared letters.
+    """(token, word) pairs within the word's edit budget, with distance and shared letters.
 
-    ``words`` is one block of ``match_words``; its keys are broadcast.
+    ``tokens`` are distinct; ``words`` is one block of ``match_words``, whose keys are broadcast.
     """
     pairs = tokens.join(F.broadcast(word_keys(words)), "key")
     token, word, edits = F.col("token"), F.col("word"), F.col("edits")
@@ -209,14 +214,16 @@ def block_hits(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("distance", F.coalesce(distance, F.lit(0)))
         .where(F.col("distance") <= edits)
-        .select("domain", "kind", "idx", "token", "word", "distance", "shared", *[c for c in tokens.columns if c == CARRY])
+        .select("kind", "token", "word", "distance", "shared")
     )
 
 
 def word_hits(hosts: DataFrame, roles: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``block_hits`` of all blocks of the watchlist's words."""
+    """Tokens of hosts with the words that ``block_hits`` finds for them, over all blocks of the watchlist's words."""
     tokens = host_tokens(hosts)
-    return reduce(DataFrame.unionByName, [block_hits(tokens, b) for b in word_blocks(match_words(roles), block_words)])
+    known = distinct_tokens(tokens)
+    hits = reduce(DataFrame.unionByName, [block_hits(known, b) for b in word_blocks(match_words(roles), block_words)])
+    return tokens.join(hits, ["kind", "token"])
 
 
 def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
