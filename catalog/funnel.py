@@ -135,11 +135,12 @@ def f10(i: Inputs):
 _WALK = {
     "walk": """
     SELECT * FROM (WITH RECURSIVE w AS (
-        SELECT url, url AS cur, [] :: VARCHAR[] AS seen, 0 AS n_hops, CAST(NULL AS INTEGER) AS code, CAST(NULL AS VARCHAR) AS status, 0 AS step FROM responses
+        SELECT url, url AS cur, [] :: VARCHAR[] AS seen, '' AS hops, 0 AS n_hops, CAST(NULL AS INTEGER) AS code, CAST(NULL AS VARCHAR) AS status, 0 AS step FROM responses
         UNION ALL
         SELECT url,
                CASE WHEN NOT looped AND moved THEN nxt ELSE cur END,
                CASE WHEN NOT looped THEN list_append(seen, rtrim(lower(cur), '/')) ELSE seen END,
+               CASE WHEN NOT looped THEN hops || cur || ' ' || new_code || chr(10) ELSE hops END,
                n_hops + CASE WHEN looped THEN 0 ELSE 1 END,
                CASE WHEN looped THEN code ELSE new_code END,
                CASE WHEN looped THEN 'loop_detected' WHEN moved THEN NULL WHEN new_code IN (301,302,303,307,308) OR (new_code > 0 AND new_code < 400) THEN 'ok' ELSE 'unreachable' END,
@@ -158,13 +159,14 @@ _WALK = {
 @query(
     "j6_redirect_chains",
     """SELECT url, cur AS final_url, CAST(n_hops AS INTEGER) AS n_hops, CAST(code AS INTEGER) AS last_status_code,
-              coalesce(status, CASE WHEN list_contains(seen, lower(rtrim(cur, '/'))) THEN 'loop_detected' ELSE 'max_hops_exceeded' END) AS status
+              coalesce(status, CASE WHEN list_contains(seen, lower(rtrim(cur, '/'))) THEN 'loop_detected' ELSE 'max_hops_exceeded' END) AS status, hops
        FROM walk WHERE status IS NOT NULL OR step = 5""",
     _WALK,
 )
 def j6(i: Inputs):
     r = i.responses
-    return redirects.trace(r.select("url"), r)
+    line = lambda h: F.concat(h["url"], F.lit(" "), h["status_code"].cast("string"), F.lit("\n"))
+    return redirects.trace(r.select("url"), r).withColumn("hops", F.array_join(F.transform("hops", line), ""))
 
 
 # The whole funnel over every day of the tables.

@@ -75,3 +75,48 @@ def test_tactics_ignore_unknown_methods(spark):
     rows = spark.createDataFrame([("keyword",)] * 3 + [(f"odd{i}",) for i in range(40)] + [(None,)], "match_method string")
     got = {r["id"]: r["count"] for r in analytics.tactic_distribution(rows).collect()}
     assert sorted(got.values()) == [0, 0, 1, 3]
+
+
+def test_hub_chains_and_hops(spark):
+    """Nearly all urls lead to one page, whose chain has hops of its own."""
+    seen = [(f"https://u{n}.test/", 301, "https://hub.test/in") for n in range(300)]
+    seen += [("https://hub.test/in", 302, "/next"), ("https://hub.test/next", 200, None)]
+    seen += [(f"https://c{n}.test/", 301, f"https://c{n + 1}.test/") for n in range(7)]
+    rows = spark.createDataFrame(seen, "url string, status_code int, location string")
+    urls = spark.createDataFrame([(u,) for u, _, _ in seen] + [("gone.test",), ("u1.test/",)], "url string")
+    got = {r["url"]: r for r in trace(urls, rows).collect()}
+    assert len(got) == len(seen) + 2
+    for n in range(300):
+        r = got[f"https://u{n}.test/"]
+        assert [tuple(h) for h in r["hops"]] == [(f"https://u{n}.test/", 301), ("https://hub.test/in", 302), ("https://hub.test/next", 200)]
+        assert (r["final_url"], r["n_hops"], r["status"], r["last_status_code"]) == ("https://hub.test/next", 3, "ok", 200)
+    assert (got["https://c0.test/"]["status"], got["https://c0.test/"]["n_hops"], got["https://c0.test/"]["final_url"]) == ("max_hops_exceeded", 5, "https://c5.test/")
+    assert (got["https://c3.test/"]["status"], got["https://c3.test/"]["n_hops"], got["https://c3.test/"]["last_status_code"]) == ("unreachable", 5, 0)
+    assert [tuple(h) for h in got["gone.test"]["hops"]] == [("https://gone.test", 0)]
+    assert got["u1.test/"]["n_hops"] == 3
+
+
+def test_percentiles_with_an_outlier(spark):
+    import statistics
+
+    values = [float(n % 997) / 7 for n in range(100_000)] + [1e300]
+    frame = spark.range(100_000).selectExpr("(id % 997) / 7D AS latency_ms").unionByName(spark.createDataFrame([(1e300,)], "latency_ms double"))
+    got = evaluate.latency_percentiles(frame).first()
+    assert got.p50 == round(statistics.median(values), 2)
+    assert got.p95 == round(statistics.quantiles(values, n=20)[18], 2)
+    assert got.max_ms == 1e300
+
+
+def test_order_keys_keep_order_and_value(spark):
+    import math
+    import random
+    import struct
+
+    rng = random.Random(1)
+    values = [0.0, 5e-324, 2.0**-1022, 2.0**-1023 * 1.5, 1.0, 2.0, 4.0, 1.7976931348623157e308, math.inf, 3.0, 1e-5]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(300)] + [math.nextafter(2.0**k, d) for k in range(-40, 40) for d in (0, math.inf)]
+    values += [-v for v in values if v]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", evaluate.order_key(F.col("v")).alias("k"))
+    for r in rows.withColumn("back", evaluate.from_order_key(F.col("k"))).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+        assert r.k == (bits if r.v >= 0 else -bits) and r.back == r.v
