@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brandsieve.functions.domains import strip
@@ -20,9 +20,18 @@ DEFAULT_RDAP_URL = "https://rdap.org/"  # fixed value: fallback endpoint
 
 
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
-    """Watchlist CSV with header; file order becomes ``brand_idx``."""
-    schema = "brand_name STRING, aliases STRING, official_domain STRING, category STRING, match_mode STRING, source STRING"
-    return spark.read.csv(path, header=True, schema=schema).withColumn("brand_idx", F.monotonically_increasing_id())
+    """Watchlist CSV files with a header; the order of files, by name, and of lines becomes ``brand_idx``.
+
+    The place of a row is taken from its file's name and the place of its block in the file, so the order
+    does not depend on how Spark cuts files into tasks. Lines that are no CSV row of these columns come back in
+    ``_corrupt`` with nulls.
+    """
+    schema = "brand_name STRING, aliases STRING, official_domain STRING, category STRING, match_mode STRING, source STRING, _corrupt STRING"
+    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    # a watchlist is a small dimension: one ordered numbering of its rows
+    place = Window.orderBy("_file", "_block", "_row")
+    return rows.withColumn("brand_idx", (F.row_number().over(place) - 1).cast("long")).drop("_file", "_block", "_row")
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:

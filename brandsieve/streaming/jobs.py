@@ -56,21 +56,21 @@ def seen_store(spark: SparkSession, path: str, buckets: int = BUCKETS) -> KeyedS
     return KeyedStore(spark, path, SEEN, ["domain"], buckets)
 
 
-def _earliest(rows: DataFrame) -> DataFrame:
+def earliest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("domain").agg(F.min("not_before").alias("not_before"))
 
 
 def seen_hosts(store: KeyedStore) -> DataFrame:
     """Every host that has been seen, with the earliest certificate time of all batches."""
-    return _earliest(store.read())
+    return earliest(store.read())
 
 
-def _news(known: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Hosts that are not known, and known ones with an earlier time than before."""
-    before = _earliest(known).select(F.col("domain").alias("_known"), F.col("not_before").alias("_before"))
+def news(known: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Hosts that are not known (``is_new``), and known ones with an earlier time than before."""
+    before = earliest(known).select(F.col("domain").alias("_known"), F.col("not_before").alias("_before"))
     met = hosts.join(before, F.col("domain") == F.col("_known"), "left")
     earlier = (F.col("not_before") < F.col("_before")) | (F.col("_before").isNull() & F.col("not_before").isNotNull())
-    return met.where(F.col("_known").isNull() | earlier).select("domain", "not_before")
+    return met.where(F.col("_known").isNull() | earlier).select("domain", "not_before", F.col("_known").isNull().alias("is_new"))
 
 
 def run_first_sight(certs: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
@@ -81,7 +81,7 @@ def run_first_sight(certs: DataFrame, path: str, checkpoint: str, buckets: int =
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen_store(batch.sparkSession, path, buckets).append(_earliest(batch.where(F.col("domain").isNotNull())), batch_id, _news, _earliest)
+        seen_store(batch.sparkSession, path, buckets).append(earliest(batch.where(F.col("domain").isNotNull())), batch_id, news, earliest)
 
     return _run(hosts_of(certs), write, checkpoint, "append")
 

@@ -86,7 +86,7 @@ def test_full_buckets_are_compacted(spark, tmp_path, monkeypatch):
     rows = lambda names, n: spark.createDataFrame([(x, day + datetime.timedelta(n)) for x in names], jobs.SEEN)
     store = jobs.seen_store(spark, str(tmp_path / "s"), 2)
     for version in range(9):
-        assert store.append(rows([f"h{version}", "a", "b"], -version), version, jobs._news, jobs._earliest)
+        assert store.append(rows([f"h{version}", "a", "b"], -version), version, jobs.news, jobs.earliest)
         assert all(len(v) <= 4 for v in store._list(version).values())
     got = {r.domain: r.not_before for r in jobs.seen_hosts(store).collect()}
     assert got == {**{f"h{n}": day - datetime.timedelta(n) for n in range(9)}, "a": day - datetime.timedelta(8), "b": day - datetime.timedelta(8)}
@@ -103,21 +103,21 @@ def test_first_sight_stream_equals_the_batch(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.run_first_sight(stream, out, str(tmp_path / "ckpt"), buckets=8)
     store = jobs.seen_store(spark, out, 8)
-    whole = jobs._earliest(jobs.hosts_of(spark.createDataFrame(rows, schema)))
+    whole = jobs.earliest(jobs.hosts_of(spark.createDataFrame(rows, schema)))
     assert sorted(map(tuple, jobs.seen_hosts(store).collect())) == sorted(map(tuple, whole.collect()))
     assert store.version() == 4
     # the whole stream once more, as new batches: nothing is added
     before = store.read().count()
     jobs.run_first_sight(stream, out, str(tmp_path / "ckpt2"), buckets=8)  # batch ids that are in
     assert store.read().count() == before
-    store.append(whole, 5, jobs._news, jobs._earliest)
+    store.append(whole, 5, jobs.news, jobs.earliest)
     assert store.read().count() == before
 
 
 def test_null_names_and_times(spark, tmp_path):
     store = jobs.seen_store(spark, str(tmp_path / "s"), 4)
     rows = spark.createDataFrame([("a.com", None), ("b.com", datetime.datetime(2024, 1, 1))], jobs.SEEN)
-    store.append(rows, 0, jobs._news, jobs._earliest)
-    store.append(rows.withColumn("not_before", F.lit("2023-01-01").cast("timestamp")), 1, jobs._news, jobs._earliest)
+    store.append(rows, 0, jobs.news, jobs.earliest)
+    store.append(rows.withColumn("not_before", F.lit("2023-01-01").cast("timestamp")), 1, jobs.news, jobs.earliest)
     got = {r.domain: r.not_before.year for r in jobs.seen_hosts(store).collect()}
     assert got == {"a.com": 2023, "b.com": 2023}
