@@ -112,12 +112,11 @@ def j5(i: Inputs):
 
 @query(
     "w12_stale_negative_entries",
-    f"SELECT domain FROM blacklist WHERE seq3 % 2 = 0 AND domain <> {registrable('domain')}",
+    f"SELECT domain FROM rdap WHERE is_not_found AND domain <> {registrable('domain')}",
     SNAP,
 )
 def w12(i: Inputs):
-    cache = blacklist(i).select("domain", (F.col("seq3") % 2 == 0).alias("is_not_found"))
-    return enrich.stale_negative_entries(cache).select("domain")
+    return enrich.stale_negative_entries(rdap(i)).select("domain")
 
 
 @query(

@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from brandsieve.streaming import jobs
+from brandsieve.sources import dated as dated_tables
+from brandsieve.streaming import jobs, runs
 from catalog.funnel import FINDINGS_SQL, ISO, STAGES, blacklist, dated, now, probe, rdap
 from catalog.landing import shared_folder
 from catalog.registry import Inputs, query
@@ -64,3 +65,51 @@ def t4(i: Inputs):
     out = _folder(i, "t4")
     jobs.run_funnel_stream(_cert_stream(i), i.watch, rdap(i), blacklist(i), probe(i), now(), out, out + "-ckpt")
     return dated(jobs.findings_store(i.spark, out).read())
+
+
+_BORDER = "1999-01-01 00:00:00"
+
+
+@query(
+    "w13_collector_log",
+    f"""SELECT 'earlier' AS source, count(*) AS fetched, count(DISTINCT host) AS inserted_new, 'ok' AS status FROM cert WHERE not_before < TIMESTAMP '{_BORDER}'
+        UNION ALL SELECT 'later', count(*), count(DISTINCT CASE WHEN host NOT IN (SELECT host FROM cert WHERE not_before < TIMESTAMP '{_BORDER}') THEN host END), 'partial'
+        FROM cert WHERE not_before >= TIMESTAMP '{_BORDER}'""",
+)
+def w13b(i: Inputs):
+    """Two runs of the collector into one store, as their log has them."""
+    folder, later = _folder(i, "runs"), F.col("not_before") >= F.lit(_BORDER).cast("timestamp")
+    store = jobs.seen_store(i.spark, f"{folder}/seen")
+    certs = i.cert.select("raw_name", "not_before")
+    runs.collect(certs.where(~later), store, 0, f"{folder}/log", "earlier")
+    runs.collect(certs.where(later), store, 1, f"{folder}/log", "later", complete=False)
+    return runs.read_log(i.spark, f"{folder}/log").select("source", "fetched", "inserted_new", "status")
+
+
+_CUTOFF = "2024-01-11 06:00:00"
+
+
+@query(
+    "w8_retention_by_day",
+    f"""SELECT channel, count(*) AS kept, (SELECT count(*) FROM message_analyses WHERE received_at < TIMESTAMP '{_CUTOFF}') AS purged
+        FROM message_analyses WHERE received_at >= TIMESTAMP '{_CUTOFF}' GROUP BY channel""",
+)
+def w8c(i: Inputs):
+    """Retention on a table of days: whole days go as folders, the border day is filtered."""
+    rows, path = i.message_analyses, _folder(i, "days")
+    dated_tables.write_days(rows, path, "received_at")
+    purged = dated_tables.drop_before(i.spark, path, rows.schema, "received_at", _CUTOFF)
+    left = dated_tables.read_days(i.spark, path, rows.schema)
+    return left.groupBy("channel").agg(F.count("*").alias("kept")).withColumn("purged", F.lit(purged).cast("long"))
+
+
+@query(
+    "s8_day_of_days",
+    "SELECT id, strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received_at FROM message_analyses WHERE received_at >= TIMESTAMP '2024-01-05 00:00:00' AND received_at < TIMESTAMP '2024-01-07 00:00:00'",
+)
+def s8b(i: Inputs):
+    """Two days of a table of days; the others are not opened."""
+    rows, path = i.message_analyses, _folder(i, "days")
+    dated_tables.write_days(rows, path, "received_at")
+    found = dated_tables.read_days(i.spark, path, rows.schema, "2024-01-05", "2024-01-06")
+    return found.select("id", F.date_format("received_at", ISO).alias("received_at"))
