@@ -101,8 +101,8 @@ class Matcher:
             found[n] = merged
         return found
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of each item's best place in the normalised ``text``."""
+    def find(self, text: str) -> list[tuple[int, int, int, int, int]]:
+        """(item_id, distance, budget, start, end) of each item's best place in the normalised ``text``."""
         if not self.items:
             return []
         out = []
@@ -117,7 +117,7 @@ class Matcher:
                 distance, end = best
                 low = max(0, end - len(item) - budget)
                 back = best_end(item[::-1], text[low:end][::-1], distance)
-                out.append((name, distance, end - back[1], end))
+                out.append((name, distance, budget, end - back[1], end))
         return out
 
 
@@ -145,8 +145,9 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -
     """One row per document row and item found in it: doc_id, item_id, distance, budget, start, end.
 
     Text is compared in lower case with white space collapsed; ``start`` and ``end`` are character
-    places in the original text. Documents and items without text match nothing; equal items and
-    repeated rows are each reported; ids may be null. Either table empty gives an empty result. The
+    places in the original text. Of equally good places the first counts. Documents and items without text match
+    nothing; equal items, items that share an id (each with its own budget) and repeated rows are each reported; ids
+    may be null. Either table empty gives an empty result. The
     whole of every text is searched; the items go to the tasks in blocks of bounded size.
     """
     spark, out = docs.sparkSession, None
@@ -158,14 +159,13 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = _matcher(shared.value, error_rate)
-            budgets = {i: b for i, _, b in matcher.items}
             for batch in batches:
                 rows = []
                 for at, value in enumerate(batch.column("text")):
                     text = value.as_py() or ""
                     found = matcher.find(normalise(text))
                     place = offsets(text) if found else []
-                    rows += [(at, i, d, budgets[i], place[a], place[b - 1] + 1) for i, d, a, b in found]
+                    rows += [(at, i, d, n, place[a], place[b - 1] + 1) for i, d, n, a, b in found]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 ids = batch.column("doc_id").take(pa.array(columns[0], pa.int64()))
                 kinds = [pa.int64() if item_type.simpleString() == "bigint" else None, pa.int32(), pa.int32(), pa.int64(), pa.int64()]

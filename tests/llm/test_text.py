@@ -88,14 +88,21 @@ def test_myers_and_pigeonhole_against_dynamic_programming():
             d, end = slow_distance(t, text)
             if d <= int(len(t) * 0.1):
                 expected[i] = (d, end)
-        found = {i: (d, end) for i, d, _, end in matcher.find(text)}
+        found = {i: (d, end) for i, d, _, _, end in matcher.find(text)}
         assert found == expected
-        for i, d, start, end in matcher.find(text):
+        for i, d, _, start, end in matcher.find(text):
             assert slow_distance(dict(items)[i], text[start:end])[0] == d
         hits += len(found)
     assert hits > 40
 
 
+def test_items_that_share_an_id_keep_their_budgets(make, spark):
+    long, short = "a fairly long item of the benchmark that allows for some errors in all of its words", "twenty-six letters in here."
+    items = spark.createDataFrame([(1, long), (1, short), (None, short)], "item_id long, text string")
+    got = decontam.matches(make([(5, f"{long} and {short}")]), items).collect()
+    assert sorted((r.item_id or 0, r.budget) for r in got) == sorted([(1, int(len(long) * 0.08)), (1, int(len(short) * 0.08)), (0, int(len(short) * 0.08))])
+
+
 def test_decontamination_frames(make, spark):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog tonight"), (2, None), (3, ""), (4, "the QUICK brown fox  jumps over the lazy dog tonight")], "item_id long, text string")
     leak = "Before.\n The  quick brown fox jumped over the lazy dog tonight, after."
