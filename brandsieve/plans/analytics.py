@@ -331,6 +331,16 @@ def top_findings(findings: DataFrame, n: int = 10, unmask: bool = False) -> Data
     )
 
 
+def snapshot_sections(daily: DataFrame, findings: DataFrame, runs: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The sections of an export: all days, the 50 best findings, the last 20 runs, and how many rows each table has."""
+    return {
+        "table_counts": table_counts(tables),
+        "daily_stats": daily,
+        "domain_findings": findings.orderBy(F.desc("risk_score"), F.desc("id")).limit(50),
+        "collector_runs": runs.orderBy(F.desc("id")).limit(20),
+    }
+
+
 def top_of_day(findings: DataFrame, campaigns: DataFrame, day: str, n: int = 5) -> DataFrame:
     """Best findings of one UTC day with their campaign's size; the limit comes before the join."""
     start = F.lit(day).cast("timestamp")

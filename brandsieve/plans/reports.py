@@ -13,18 +13,28 @@ REGISTRY_CHANNEL = ("PANDI", "abuse@pandi.id")
 FINANCE_CHANNEL = ("Kontak OJK 157 & Satgas PASTI", "konsumen@ojk.go.id")
 CSIRT_CHANNEL = ("BSSN Gov-CSIRT", "bantuan70@bssn.go.id")
 FINANCE_WORDS = ["bank", "bca", "bni", "bri", "mandiri", "dana", "ovo", "gopay", "ojk", "bi"]
+HIJACKED_SCORE, CATEGORY_SCORE = 95, 85
+FRAUD_LEVEL = "INDIKASI PENIPUAN"
 # ----------------------------------------------------------------------------------
+#: Kind of desk, how to reach it and what it does, by channel name.
+DESKS = {
+    CONTENT_CHANNEL[0]: ("content regulator", "complaint portal or mail", "blocks access to a site"),
+    REGISTRY_CHANNEL[0]: ("registry of .id", "mail to the abuse desk", "suspends a domain name under .id"),
+    FINANCE_CHANNEL[0]: ("financial regulator", "mail or telephone 157", "acts against unlicensed financial offers"),
+    CSIRT_CHANNEL[0]: ("national incident response", "mail to the response team", "coordinates incidents of institutions"),
+}
 
 
 def recommended_channels(domain: Column, brand: Column, hijacked: Column | None = None) -> Column:
-    """Array of (name, contact): always the content desk, then by zone, by brand, by hijack."""
+    """Array of (name, contact, target_type, submission_method, notes): always the content desk, then by zone, by brand, by hijack."""
 
     def channel(c: tuple[str, str]) -> Column:
-        return F.struct(F.lit(c[0]).alias("name"), F.lit(c[1]).alias("contact"))
+        fields = dict(zip(("name", "contact", "target_type", "submission_method", "notes"), (*c, *DESKS[c[0]]), strict=True))
+        return F.struct(*[F.lit(v).alias(k) for k, v in fields.items()])
 
     low = F.lower(F.coalesce(brand, F.lit("")))
     finance = low.rlike("|".join(FINANCE_WORDS))
-    csirt = finance if hijacked is None else finance | hijacked
+    csirt = finance if hijacked is None else finance | F.coalesce(hijacked, F.lit(False))
     return F.array_compact(
         F.array(
             channel(CONTENT_CHANNEL),
@@ -35,11 +45,39 @@ def recommended_channels(domain: Column, brand: Column, hijacked: Column | None
     )
 
 
-def report_drafts(findings: DataFrame) -> DataFrame:
-    """(id, domain, channels, draft_text) per finding; the draft is for a person to review and send."""
+def category_cases(findings: DataFrame) -> DataFrame:
+    """Findings of the category scans in the columns that a draft needs.
+
+    A scan looks at names only, so a case is never called live. A finding below an institution's domain counts as
+    that institution's, and its response team is told.
+    """
+    hijacked = F.coalesce("is_hijacked_institution", F.lit(False))
+    words = F.array_join(F.filter(F.split(F.coalesce("matched_keywords", F.lit("")), ","), lambda w: w != ""), ", ")
+    content = F.when(F.col("category") == "porn", "Adult content").otherwise("Gambling content")
+    institution = F.concat(F.lit("Official institution (."), F.coalesce("institution_suffix", F.lit("")), F.lit(")"))
+    return findings.select(
+        "id", "domain", "category", "first_seen",
+        F.when(hijacked, institution).otherwise(content).alias("matched_brand"),
+        F.when(hijacked, HIJACKED_SCORE).otherwise(CATEGORY_SCORE).alias("risk_score"),
+        F.lit(FRAUD_LEVEL).alias("risk_level"),
+        F.lit(False).alias("is_live"),
+        F.concat(F.when(hijacked, "hijacked subdomain and keyword").otherwise("keyword"), F.lit(" ("), words, F.lit(")")).alias("match_method"),
+        F.when(F.lower("domain").endswith(".id"), "PANDI").alias("registrar"),
+        F.lit(None).cast("string").alias("nameservers"),
+        hijacked.alias("hijacked"),
+    )
+
+
+def category_drafts(findings: DataFrame) -> DataFrame:
+    """(id, domain, matched_brand, risk_score, channels, draft_text) per finding of a category scan."""
+    return report_drafts(category_cases(findings), ["matched_brand", "risk_score"])
+
+
+def report_drafts(findings: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(id, domain, channels, draft_text) per finding, and the columns of ``keep``; the draft is for a person to review and send."""
     brand = F.coalesce(F.when(F.col("matched_brand") != "", F.col("matched_brand")), F.lit("Public institution"))
     rows = findings.withColumn("_brand", brand).withColumn(
-        "channels", recommended_channels(F.col("domain"), F.col("_brand"))
+        "channels", recommended_channels(F.col("domain"), F.col("_brand"), F.col("hijacked") if "hijacked" in findings.columns else None)
     )
     seen = F.concat(F.date_format(F.from_utc_timestamp("first_seen", REPORT_ZONE), "dd/MM/yyyy HH:mm:ss"), F.lit(" WIB"))
     status = F.when(F.col("is_live"), "ACTIVE (answers HTTP)").otherwise("NOT RESPONDING")
@@ -64,7 +102,7 @@ def report_drafts(findings: DataFrame) -> DataFrame:
         F.lit("IV. REQUEST"),
         F.concat(F.lit("Please act on '"), "domain", F.lit("', which imitates '"), "_brand", F.lit("'.")),
     )
-    return rows.select("id", "domain", "channels", text.alias("draft_text"))
+    return rows.select("id", "domain", *(keep or []), "channels", text.alias("draft_text"))
 
 
 def daily_brief(daily: DataFrame, top: DataFrame, day: str) -> DataFrame:
