@@ -22,12 +22,14 @@ from brandsieve.llm.common import checkpointed
 BAD, NOTHING, GOOD = 0, 1, 2
 LABELLERS = ["symbols", "capitals", "bars", "exclaims", "repeats", "word_length", "stops"]
 SYMBOLS = "#$%&*@~^=_<>{}[]\\"
-ROUNDS = 200
+ROUNDS = 500
 #: Pseudo-rows of each vote share.
 PRIOR = 1.0
-#: A labeller's thresholds are set so wide that it calls at most this share of good texts bad, and
-#: misses at most this share of the texts that have its kind of fault.
-FALSE_ALARM, MISSED = 0.002, 0.1
+#: Where every labeller has a fault of its own, its threshold is set wide: the prior of the share of good texts that it
+#: calls bad, worth so many pseudo-rows for each row. It decides where the votes do not, and does not bound.
+FALSE_ALARM, WORTH = 0.002, 0.3
+#: Pseudo-rows of the votes of a labeller on its own fault, and on the faults of others: bad, good.
+OWN, OTHERS = (2.0, 0.1), (0.02, 0.1)
 BITS = 16
 SIZES = (1, 2)
 #: Bound of the training sample, gathered on the driver: rows for each of the two posterior classes.
@@ -88,34 +90,58 @@ def votes(text: str | None) -> list[int]:
     ]
 
 
+@dataclass
+class _Votes:
+    """Vote patterns and how often each occurs; bad and good votes by pattern and labeller."""
+
+    bad: np.ndarray
+    good: np.ndarray
+    count: np.ndarray
+
+    def fitted(self, posterior: np.ndarray, bad_prior: np.ndarray, good_prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Posterior by pattern and class, and bad-vote shares by labeller and class.
+
+        Expectation maximisation takes class and vote shares from posteriors and posteriors from them. Only
+        votes count as evidence, their absence does not.
+        """
+        classes = posterior.shape[1]
+        shares = np.zeros(bad_prior.shape)
+        for _ in range(ROUNDS):
+            weight = self.count[:, None] * posterior
+            bad, good = self.bad.T @ weight + bad_prior, self.good.T @ weight + good_prior
+            shares = bad / (bad + good)
+            sizes = (weight.sum(axis=0) + 0.1) / (weight.sum() + 0.1 * classes)
+            log = self.bad @ np.log(shares) + self.good @ np.log(1 - shares) + np.log(sizes)
+            new = np.exp(log - log.max(axis=1, keepdims=True))
+            new /= new.sum(axis=1, keepdims=True)
+            moved, posterior = np.abs(new - posterior).max(initial=0), new
+            if moved < 1e-9:
+                break
+        return posterior, shares
+
+
 def label_model(patterns: dict[tuple[int, ...], int]) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
-    """Posterior probability of good for each vote pattern; bad-vote shares by labeller and hidden class.
+    """Posterior probability of good for each vote pattern; bad-vote shares by labeller and hidden class (good first).
 
-    Hidden classes are good (0) and one kind of fault for each labeller. Expectation maximisation takes
-    class and vote shares from posteriors and posteriors from them, within the bounds FALSE_ALARM and
-    MISSED. It starts with the faults that the votes name. Labellers overlap: each one's shares are
-    estimated in every class, so that some may err or catch together. Only votes count as evidence,
-    their absence does not.
+    Two models are fitted. One has a hidden class good and one bad, about which all labellers vote; it counts if
+    each labeller is better than a coin on either. The other has good and one kind of fault for each labeller, of which some are seen by others too, so that
+    overlapping labellers are not taken for independent ones. Every share is estimated from the votes; priors decide
+    only where these do not.
     """
-    keys, n = sorted(patterns), len(LABELLERS)
+    keys, n = sorted(patterns), len(next(iter(patterns), LABELLERS))
     seen, count = np.array(keys).reshape(len(keys), n), np.array([patterns[k] for k in keys], float)
-    bad, good = (seen == BAD).astype(float), (seen == GOOD).astype(float)  # pattern x labeller
-    named = np.hstack((np.where(bad.any(axis=1, keepdims=True), 0.0, 1.0), bad)) + 1e-3
-    posterior = named / named.sum(axis=1, keepdims=True)
-    shares = np.zeros((n, n + 1))
-    for _ in range(ROUNDS):
-        weight = count[:, None] * posterior
-        shares = (bad.T @ weight + PRIOR) / ((bad + good).T @ weight + 2 * PRIOR)
-        shares[:, 0] = np.minimum(shares[:, 0], FALSE_ALARM)
-        own = np.arange(n)
-        shares[own, own + 1] = np.maximum(shares[own, own + 1], 1 - MISSED)
-        classes = (weight.sum(axis=0) + 1) / (weight.sum() + n + 1)
-        log = bad @ np.log(shares) + good @ np.log(1 - shares) + np.log(classes)
-        new = np.exp(log - log.max(axis=1, keepdims=True))
-        new /= new.sum(axis=1, keepdims=True)
-        moved, posterior = np.abs(new - posterior).max(initial=0), new
-        if moved < 1e-9:
-            break
+    votes_ = _Votes((seen == BAD).astype(float), (seen == GOOD).astype(float), count)
+    share = (votes_.bad.sum(axis=1) + 0.5) / (votes_.bad.sum(axis=1) + votes_.good.sum(axis=1) + 1)
+    flat = np.full((n, 2), PRIOR)
+    two = votes_.fitted(np.stack((1 - share, share), axis=1), flat, flat)
+    named = np.hstack((np.where(votes_.bad.any(axis=1, keepdims=True), 0.0, 1.0), votes_.bad)) + 1e-3
+    bad_prior, good_prior, own = np.full((n, n + 1), OTHERS[0]), np.full((n, n + 1), OTHERS[1]), np.arange(n)
+    bad_prior[own, own + 1], good_prior[own, own + 1] = OWN
+    rows = WORTH * count.sum()
+    bad_prior[:, 0], good_prior[:, 0] = FALSE_ALARM * rows + 0.01, rows + 1
+    faults = votes_.fitted(named / named.sum(axis=1, keepdims=True), bad_prior, good_prior)
+    of_one_mind = ((two[1][:, 0] < 0.5) & (two[1][:, 1] > 0.5)).all()
+    posterior, shares = two if of_one_mind else faults
     return dict(zip(keys, posterior[:, 0].tolist(), strict=True)), shares
 
 
