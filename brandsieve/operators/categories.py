@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brandsieve.functions.domains import clean_domain, domain_labels, institution_suffix
+from brandsieve.functions.domains import clean_domain, institution_suffix, labels_of
+from brandsieve.functions.messages import evaluated_once
 
 # --- fixed values: vocabulary per category and tier ---------------------------------
 KEYWORDS = {
@@ -42,17 +43,16 @@ def _rows(hosts: DataFrame, category: str) -> DataFrame:
     """Hosts that can hit at all, with their labels and strict hits.
 
     One native pattern over the whole host comes first. It is a necessary condition (a keyword
-    label is bounded by dots, hyphens or the ends), so the per-label work is left to few hosts.
+    label is bounded by dots, hyphens or the ends), so the per-label work is left to few hosts. Labels and
+    hits are evaluated once a host, however many filters ask for them.
     """
     words = KEYWORDS[category, "strict"] + KEYWORDS[category, "ambiguous"]
     bounded = r"(^|[.-])\d{0,3}(?:" + "|".join(sorted(words, key=len, reverse=True)) + r")\d{0,3}d?([.-]|$)"
     kept = [c for c in hosts.columns if c != "domain"]
-    return (
-        hosts.select(clean_domain(F.col("domain")).alias("domain"), *kept)
-        .where(F.col("domain").contains(".") & F.col("domain").rlike(bounded))
-        .withColumn("labels", domain_labels(F.col("domain")))
-        .withColumn("strict", keyword_hits(F.col("labels"), KEYWORDS[category, "strict"]))
-    )
+    cleaned = evaluated_once(hosts.withColumnRenamed("domain", "_raw"), "domain", clean_domain(F.col("_raw"))).select("domain", *kept)
+    rows = cleaned.where(F.col("domain").contains(".") & F.col("domain").rlike(bounded))
+    rows = evaluated_once(rows, "labels", labels_of(F.col("domain")))
+    return evaluated_once(rows, "strict", keyword_hits(F.col("labels"), KEYWORDS[category, "strict"]))
 
 
 def scan(hosts: DataFrame, category: str, verdicts: DataFrame | None = None) -> DataFrame:
@@ -85,11 +85,8 @@ def scan(hosts: DataFrame, category: str, verdicts: DataFrame | None = None) ->
 
 def ambiguous(rows: DataFrame, category: str) -> DataFrame:
     """Hosts without a strict hit that carry an ambiguous keyword (column ``hits``)."""
-    return (
-        rows.where(F.size("strict") == 0)
-        .withColumn("hits", keyword_hits(F.col("labels"), KEYWORDS[category, "ambiguous"]))
-        .where(F.size("hits") > 0)
-    )
+    found = keyword_hits(F.col("labels"), KEYWORDS[category, "ambiguous"])
+    return evaluated_once(rows.where(F.size("strict") == 0), "hits", found).where(F.size("hits") > 0)
 
 
 def rebuild(current: DataFrame, previous: DataFrame, now: Column) -> DataFrame:
