@@ -111,14 +111,22 @@ def merged_findings(known: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(looked, "domain", "left").withColumn("first_seen", F.least("first_seen", "looked")).drop("looked")
 
 
+def once_for_all(tables: dict[str, DataFrame], path: str) -> list[DataFrame]:
+    """The tables as files beside ``path``, so that a stream reads them in each batch and derives them once."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    return [table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}") for name, table in tables.items()]
+
+
 def run_funnel_stream(
     certs: DataFrame, watch: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column, path: str, checkpoint: str, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """The whole funnel on the hosts of each batch, upserted into the store of findings.
 
     Of the store only the buckets of hosts that the batch found are read and written. A host that comes back takes
-    a new look and updates its finding.
+    a new look and updates its finding. The watchlist and the snapshots are those at the start of the run.
     """
+    watch, rdap, blacklist, probes = once_for_all({"watch": watch, "rdap": rdap, "blacklist": blacklist, "probes": probes}, f"{path}-snapshots")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         hosts = batch.groupBy("domain").agg(F.min("seen_at").alias("first_seen"), F.min("not_before").alias("not_before"))
