@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brandsieve.functions.domains import nameserver_signature, strip
+from brandsieve.functions.messages import evaluated_once
 from brandsieve.operators.running import running_sum
 from brandsieve.operators.upsert import upsert
 
@@ -20,7 +21,7 @@ SLICE_US = 600_000_000  # ten minutes: the unit in which a hot key is spread
 def nameserver_clusters(findings: DataFrame) -> DataFrame:
     """(cluster_key, member_count) for signatures shared by two findings or more. Counts only: no group is collected."""
     return (
-        findings.withColumn("cluster_key", nameserver_signature(F.col("nameservers")))
+        evaluated_once(findings, "cluster_key", nameserver_signature(F.col("nameservers")))
         .where(F.col("cluster_key").isNotNull())
         .groupBy("cluster_key")
         .agg(F.count("*").alias("member_count"))
@@ -68,7 +69,7 @@ def label_findings(findings: DataFrame) -> DataFrame:
     """
     by_ns = nameserver_clusters(findings).select(F.col("cluster_key").alias("_sig"), F.lit(True).alias("_in_ns"))
     rows = (
-        findings.withColumn("_sig", nameserver_signature(F.col("nameservers")))
+        evaluated_once(findings, "_sig", nameserver_signature(F.col("nameservers")))
         .withColumn("_brand", F.when(F.col("matched_brand") != "", F.lower(strip(F.col("matched_brand")))))
         .withColumn("_method", F.lower(strip(F.coalesce("match_method", F.lit("")))))
     )
