@@ -3,15 +3,16 @@
 A text is the set of its five-word shingles; two texts are near copies at a Jaccard similarity of 4/5 and more.
 Their SimHash fingerprints then differ in a share of about 0.15 of the bits at most, too many for masks over one
 fingerprint. So the fingerprint has BLOCKS blocks, and each block the covering masks of ``simhash``: a pair
-that differs in at most RADIUS bits of any one block shares a bucket, always. Inside a bucket texts are
-joined to their nearest ones by a spanning forest over a check word, so that a group of copies gives as many pairs as it
-has texts. The sets of each pair are compared, and near copies are the connected components. The first few
-blocks link most of a large group; in the tables of the others its texts are one already and are not paired again.
+that differs in at most RADIUS bits of any one block shares a bucket, always. The first round takes a few blocks. Inside a bucket
+texts are joined to their nearest ones by a spanning forest over a check word, so that a group of copies gives as
+many pairs as it has texts; the sets of each pair are compared, and this links most of a large group. The second round
+takes all blocks and pairs every two texts of a bucket whose check words are near and that are not linked yet, however large the bucket.
+Near copies are the connected components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,16 @@ SHINGLE = 5
 #: Blocks of the fingerprint, bits of a block, bits in which texts may differ in some block; 7 tables for a block.
 BLOCKS, BLOCK_BITS, RADIUS = 24, 42, 2
 WORDS = -(-BLOCKS * BLOCK_BITS // 64)
-#: Blocks of the first round and of the second.
-ROUNDS = (range(3), range(3, BLOCKS))
+#: Blocks whose buckets give a forest each; those of all blocks then give all pairs of texts that are not linked by it.
+FIRST = range(3)
 #: Of the 64 check bits, at most so many differ in a candidate pair: 9.7 do on average at a similarity of 4/5,
 #: with a deviation of 2.9.
 CHECK_BITS = 19
-#: Texts of a bucket that are compared at once; a larger one goes on part by part, each with HEADS of every earlier part.
+#: Texts of a bucket that are compared at once. A larger one goes on part by part: for a forest, each part with HEADS of
+#: every earlier part; for all pairs, each part with every other, in tasks of their own.
 LARGE, HEADS = 2048, 64
+#: Rows of a bucket up to which all pairs of many buckets are looked at together.
+SMALL = 64
 #: Words whose hashes a task remembers.
 HELD_WORDS = 1 << 18
 
@@ -197,53 +201,140 @@ def _bucket(rows: np.ndarray, heads: np.ndarray, large: int, keep: int) -> tuple
     return pairs, heads
 
 
+def _all_pairs(one: np.ndarray, other: np.ndarray | None = None) -> list[np.ndarray]:
+    """Pairs (two nodes a row) of rows (node, check, label) of two labels within CHECK_BITS: of ``one``, or of one and the other."""
+    pairs = []
+    for at in range(len(one)):
+        to = one[at + 1 :] if other is None else other
+        near = to[(to[:, 2] != one[at, 2]) & (_distance(to[:, 1], one[at, 1]) <= CHECK_BITS), 0]
+        if len(near):
+            pairs.append(np.stack((np.full(len(near), one[at, 0]), near), axis=1))
+    return pairs
+
+
+def _small_pairs(rows: np.ndarray) -> list[np.ndarray]:
+    """The same of rows (key, node, check, label) of many small buckets: each row with the first, the second ... behind it."""
+    pairs, at, step = [], np.arange(len(rows)), 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(rows)]
+        at = at[rows[at, 0] == rows[at + step, 0]]
+        near = at[(rows[at, 3] != rows[at + step, 3]) & (_distance(rows[at, 2], rows[at + step, 2]) <= CHECK_BITS)]
+        pairs.append(np.stack((rows[near, 1], rows[near + step, 1]), axis=1))
+    return pairs
+
+
 _NO_HEADS = np.zeros((0, 3), np.int64)
+_PAIRS = "a long, b long"
+#: A part of a bucket above ``large`` rows, its number and its least and largest label.
+_PARTS = "key long, part long, low long, high long, rows binary"
+
+
+def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct pairs as (a, b), the lesser first."""
+    pairs = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _pairs(keyed: DataFrame, large: int, keep: int) -> DataFrame:
-    """Distinct candidate pairs (a, b). Rows of a bucket come one after the other; no more than a part of it is held.
+def _ordered(keyed: DataFrame, large: int, meet: Callable, of_large: Callable, schema: str) -> DataFrame:
+    """What ``meet`` makes of the rows of whole buckets and ``of_large`` of each part of a larger one.
 
-    A text is once in each table, so a bucket of the first round holds no more than one in 21 of all rows.
+    Rows of a bucket come one after the other, by label; no more than a part of one is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 4), np.int64)
-        going, heads = None, _NO_HEADS  # the bucket that is met in parts
+        going = None  # the bucket that is met in parts
 
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            nonlocal heads
-            if not len(rows):
-                return
-            cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
-            starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
-            out, sizes = [np.zeros((0, 2), np.int64)], ends - starts
-            if rows[0, 0] == going:
-                more, heads = _bucket(rows[: ends[0], 1:], heads, large, keep)
-                out += more
-                sizes[0] = 1
-            two = starts[sizes == 2]
-            close = two[(_distance(rows[two, 2], rows[two + 1, 2]) <= CHECK_BITS) & (rows[two, 3] != rows[two + 1, 3])]
-            out.append(np.stack((rows[close, 1], rows[close + 1, 1]), axis=1))
-            for a, b in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
-                more, _ = _bucket(rows[a:b, 1:], _NO_HEADS, large, keep)
-                out += more
-            pairs = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            if len(rows) and rows[0, 0] == going:
+                end = int(np.searchsorted(rows[:, 0], going, "right"))
+                yield from of_large(rows[:end], False)
+                rows = rows[end:]
+            if len(rows):
+                yield from meet(rows)
 
         for batch in batches:
             rows = np.concatenate((held, np.stack([batch.column(c).to_numpy() for c in ("key", "node", "check", "label")], axis=1)))
             last = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
             yield from found(rows[:last])
             held = rows[last:]
-            if len(held) >= large:  # a part of a large bucket
-                if going != held[0, 0]:
-                    going, heads = held[0, 0], _NO_HEADS
-                yield from found(held)
-                held = held[:0]
+            while len(held) > large:  # a part of a large bucket
+                yield from of_large(held[:large], going != held[0, 0])
+                going, held = held[0, 0], held[large:]
         yield from found(held)
 
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "label", "node").mapInArrow(run, schema)
+
+
+def _buckets(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.flatnonzero(np.diff(rows[:, 0])) + 1
+    return np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rows)]))
+
+
+def _forest_pairs(keyed: DataFrame, large: int, keep: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) that link the texts of a bucket to their nearest ones."""
+    heads = _NO_HEADS
+
+    def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, ends = _buckets(rows)
+        sizes = ends - starts
+        two = starts[sizes == 2]
+        close = two[(_distance(rows[two, 2], rows[two + 1, 2]) <= CHECK_BITS) & (rows[two, 3] != rows[two + 1, 3])]
+        out = [np.stack((rows[close, 1], rows[close + 1, 1]), axis=1)]
+        for a, b in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
+            out += _bucket(rows[a:b, 1:], _NO_HEADS, large, keep)[0]
+        yield _batch(out)
+
+    def of_large(rows: np.ndarray, new: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal heads
+        pairs, heads = _bucket(rows[:, 1:], _NO_HEADS if new else heads, large, keep)
+        yield _batch(pairs)
+
+    return _ordered(keyed, large, meet, of_large, _PAIRS).where("a <> b").distinct()
+
+
+def _exact_pairs(keyed: DataFrame, large: int) -> DataFrame:
+    """All distinct pairs (a, b) of texts that share a bucket, have different labels and differ in CHECK_BITS at most.
+
+    The parts of a bucket of more than ``large`` rows meet each other by a join, each two in one row, so that no task
+    has a whole bucket. Two parts of one and the same label have no pairs and do not meet.
+    """
+    part = 0
+    fields = ["key", "part", "low", "high", "rows"]
+
+    def meet(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, ends = _buckets(rows)
+        mixed = rows[starts, 3] != rows[ends - 1, 3]  # by label: else all have one
+        small = mixed & (ends - starts <= SMALL)
+        out = _small_pairs(rows[np.repeat(small, ends - starts)])
+        for a, b in zip(starts[mixed & ~small], ends[mixed & ~small], strict=True):
+            out += _all_pairs(rows[a:b, 1:])
+        batch = _batch(out)
+        none = [pa.nulls(batch.num_rows, pa.binary() if f == "rows" else pa.int64()) for f in fields]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *none], ["a", "b", *fields])
+
+    def of_large(rows: np.ndarray, new: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal part
+        part = 0 if new else part + 1
+        none = [pa.nulls(1, pa.int64())] * 2
+        own = [pa.array([int(x)], pa.int64()) for x in (rows[0, 0], part, rows[0, 3], rows[-1, 3])]
+        yield pa.RecordBatch.from_arrays([*none, *own, pa.array([np.ascontiguousarray(rows[:, 1:]).tobytes()], pa.binary())], ["a", "b", *fields])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, one, other in zip(*(batch.column(c).to_pylist() for c in ("same", "one", "other")), strict=True):
+                one, other = (np.frombuffer(x, np.int64).reshape(-1, 3) for x in (one, other))
+                yield _batch(_all_pairs(one) if same else _all_pairs(one, other))
+
+    met = checkpointed(_ordered(keyed, large, meet, of_large, f"{_PAIRS}, {_PARTS}").distinct())
+    parts = met.where("rows IS NOT NULL")
+    least = parts.select("key", F.col("part").alias("n"), F.col("low").alias("l"), F.col("high").alias("h"), F.col("rows").alias("other"))
+    mixed = "part <= n AND NOT (low = high AND l = h AND low = l)"
+    twos = parts.join(least, "key").where(mixed).select((F.col("part") == F.col("n")).alias("same"), F.col("rows").alias("one"), "other")
+    twos = twos.repartition(F.rand(7)).mapInArrow(cross, _PAIRS) if parts.take(1) else None
+    pairs = met.where("rows IS NULL").select("a", "b")
+    return (pairs if twos is None else pairs.unionAll(twos)).where("a <> b").distinct()
 
 
 def _whole_sets(docs: DataFrame, body: Column, each: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -280,22 +371,17 @@ def _verified(docs: DataFrame, body: Column, each: DataFrame, pairs: DataFrame)
 def linked(docs: DataFrame, body: Column, each: DataFrame, large: int = LARGE, keep: int = HEADS) -> DataFrame:
     """Links (a, b) between sets of ``each`` that join its near copies, directly or over others.
 
-    Each link of the last round has a Jaccard similarity of 4/5 and more; what earlier rounds have joined that
-    way is linked to the least of its component.
+    Each link of the last round has a Jaccard similarity of 4/5 and more; what the first round has joined that
+    way is linked to the least of its component. ``large`` and ``keep`` say how the work is cut, not what is linked.
     """
     nodes = each.groupBy("node").agg(F.first("print").alias("print"))
-    links = None
-    for blocks in ROUNDS:
-        if links is None:
-            labelled = nodes.withColumn("label", F.col("node"))
-        else:
-            known = components(links)
-            links = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labelled = nodes.join(known, "node", "left").select("node", "print", F.coalesce("component", "node").alias("label"))
-        pairs = checkpointed(_pairs(_keyed(labelled, blocks), large, keep))
-        found = _verified(docs, body, each, pairs)
-        links = checkpointed(found if links is None else links.unionByName(found))
-    return links
+    labelled = nodes.withColumn("label", F.col("node"))
+    links = checkpointed(_verified(docs, body, each, checkpointed(_forest_pairs(_keyed(labelled, FIRST), large, keep))))
+    known = components(links)
+    links = known.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    labelled = nodes.join(known, "node", "left").select("node", "print", F.coalesce("component", "node").alias("label"))
+    pairs = checkpointed(_exact_pairs(_keyed(labelled, range(BLOCKS)), large))
+    return checkpointed(links.unionByName(_verified(docs, body, each, pairs)))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

@@ -142,3 +142,35 @@ def test_different_texts_without_ids_stay(make, keep):
     got = keep(make([(None, t) for t in texts] + [(None, texts[0].upper()), (7, "one with an id")]))
     assert sorted(r.text.lower() for r in got.collect()) == sorted([*texts, "one with an id"])
     assert keep(make([])).count() == 0
+
+
+def test_all_pairs_of_a_large_bucket_meet(spark):
+    # 40 texts of 37 labels in one bucket and as many in another that fits; check words are within reach but for two
+    rng = random.Random(5)
+    texts = [(n, sum(1 << b for b in rng.sample(range(63), 6)), n if n > 4 else 0) for n in range(38)] + [(38, (1 << 62) - 1, 38), (39, -1, 39)]
+    keyed = spark.createDataFrame([(key, *t) for key in (7, 8) for t in texts] + [(9, *t) for t in texts[:5]], "key long, node long, check long, label long")
+    near = {(a[0], b[0]) for a, b in combinations(texts, 2) if a[2] != b[2] and ((a[1] ^ b[1]) & (2**64 - 1)).bit_count() <= near_copies.CHECK_BITS}
+    for large in (7, 64):
+        assert {tuple(r) for r in near_copies._exact_pairs(keyed, large).collect()} == near
+    assert len(near) > 500
+
+
+def test_cuts_change_no_link(spark):
+    # texts of one passage: those off a forest, and those of parts far from each other, are compared as well
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for n in range(90):
+        words = list(passage)
+        for at in rng.sample(range(60), rng.randrange(1, 4)):
+            words[at] = f"q{n % 9}"
+        rows.append((n, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    body = F.xxhash64("text")
+    each = near_copies._sets(docs, body).persist()
+    groups = []
+    for large, keep in ((4, 1), (4096, 64)):
+        labels = near_copies.components(near_copies.linked(docs, body, each, large, keep))
+        groups.append({(r.node, r.component) for r in labels.collect()})
+    each.unpersist()
+    assert groups[0] == groups[1]
