@@ -13,7 +13,10 @@ from catalog.landing import shared_folder
 from catalog.registry import Inputs, query
 
 
+#: A stream of certificates comes in three batches: FILES files at least, and FILES_PER_BATCH of every FILES in a batch.
 FILES, FILES_PER_BATCH = 8, 3
+#: Certificates in a file, about 50 MB; more of them make more files, not larger ones.
+ROWS_PER_FILE = 1 << 19
 
 
 def _folder(i: Inputs, name: str) -> str:
@@ -23,8 +26,10 @@ def _folder(i: Inputs, name: str) -> str:
 def _cert_stream(i: Inputs):
     """Certificates as they land: a table of several files, read a few files per batch."""
     path = _folder(i, "cert")
-    i.cert.repartition(FILES, F.xxhash64("raw_name")).write.parquet(path)
-    return i.spark.readStream.schema(i.cert.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
+    rows = i.lineitem.count() + i.pages.count()  # as the view has them; both counts come from the files' footers
+    files = max(FILES, -(-rows // ROWS_PER_FILE))
+    i.cert.repartition(files, F.xxhash64("raw_name")).write.parquet(path)
+    return i.spark.readStream.schema(i.cert.schema).option("maxFilesPerTrigger", -(-files * FILES_PER_BATCH // FILES)).parquet(path)
 
 
 def _event_stream(i: Inputs):
