@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -226,10 +226,10 @@ def _tokenizer(data: bytes) -> ByteBpe:
 
 
 #: Characters encoded at a time, so that a batch of long texts needs little memory.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 
-def _chunks(texts: list[str]) -> Iterator[list[str]]:
+def _chunks(texts: Iterable[str]) -> Iterator[list[str]]:
     chunk, size = [], 0
     for text in texts:
         if chunk and size + len(text) > CHUNK:
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
         bpe = _tokenizer(shared.value)
         for batch in batches:
             start = 0
-            for texts in _chunks(batch.column("text").to_pylist()):
+            for texts in _chunks(t.as_py() for t in batch.column("text")):
                 ids = bpe.encode_batch(texts)
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.empty(0, np.int32))

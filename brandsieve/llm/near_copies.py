@@ -12,7 +12,8 @@ Near copies are the connected components.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ CHECK_BITS = 19
 LARGE, HEADS = 2048, 64
 #: Rows of a bucket up to which all pairs of many buckets are looked at together.
 SMALL = 64
+#: Pairs that a task gathers before it passes them on.
+HELD_PAIRS = 1 << 16
 #: Words whose hashes a task remembers.
 HELD_WORDS = 1 << 18
 
@@ -201,27 +204,24 @@ def _bucket(rows: np.ndarray, heads: np.ndarray, large: int, keep: int) -> tuple
     return pairs, heads
 
 
-def _all_pairs(one: np.ndarray, other: np.ndarray | None = None) -> list[np.ndarray]:
+def _all_pairs(one: np.ndarray, other: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """Pairs (two nodes a row) of rows (node, check, label) of two labels within CHECK_BITS: of ``one``, or of one and the other."""
-    pairs = []
     for at in range(len(one)):
         to = one[at + 1 :] if other is None else other
         near = to[(to[:, 2] != one[at, 2]) & (_distance(to[:, 1], one[at, 1]) <= CHECK_BITS), 0]
         if len(near):
-            pairs.append(np.stack((np.full(len(near), one[at, 0]), near), axis=1))
-    return pairs
+            yield np.stack((np.full(len(near), one[at, 0]), near), axis=1)
 
 
-def _small_pairs(rows: np.ndarray) -> list[np.ndarray]:
+def _small_pairs(rows: np.ndarray) -> Iterator[np.ndarray]:
     """The same of rows (key, node, check, label) of many small buckets: each row with the first, the second ... behind it."""
-    pairs, at, step = [], np.arange(len(rows)), 0
+    at, step = np.arange(len(rows)), 0
     while len(at):
         step += 1
         at = at[at + step < len(rows)]
         at = at[rows[at, 0] == rows[at + step, 0]]
         near = at[(rows[at, 3] != rows[at + step, 3]) & (_distance(rows[at, 2], rows[at + step, 2]) <= CHECK_BITS)]
-        pairs.append(np.stack((rows[near, 1], rows[near + step, 1]), axis=1))
-    return pairs
+        yield np.stack((rows[near, 1], rows[near + step, 1]), axis=1)
 
 
 _NO_HEADS = np.zeros((0, 3), np.int64)
@@ -236,6 +236,19 @@ def _batch(found: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
+def _batches(found: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The same in batches: pairs can be as many as the square of the rows, so they are passed on as they are found."""
+    held, size = [], 0
+    for pairs in found:
+        held.append(pairs)
+        size += len(pairs)
+        if size >= HELD_PAIRS:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
+
+
 def _ordered(keyed: DataFrame, large: int, meet: Callable, of_large: Callable, schema: str) -> DataFrame:
     """What ``meet`` makes of the rows of whole buckets and ``of_large`` of each part of a larger one.
 
@@ -307,12 +320,10 @@ def _exact_pairs(keyed: DataFrame, large: int) -> DataFrame:
         starts, ends = _buckets(rows)
         mixed = rows[starts, 3] != rows[ends - 1, 3]  # by label: else all have one
         small = mixed & (ends - starts <= SMALL)
-        out = _small_pairs(rows[np.repeat(small, ends - starts)])
-        for a, b in zip(starts[mixed & ~small], ends[mixed & ~small], strict=True):
-            out += _all_pairs(rows[a:b, 1:])
-        batch = _batch(out)
-        none = [pa.nulls(batch.num_rows, pa.binary() if f == "rows" else pa.int64()) for f in fields]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *none], ["a", "b", *fields])
+        larger = zip(starts[mixed & ~small], ends[mixed & ~small], strict=True)
+        for batch in _batches(chain(_small_pairs(rows[np.repeat(small, ends - starts)]), *(_all_pairs(rows[a:b, 1:]) for a, b in larger))):
+            none = [pa.nulls(batch.num_rows, pa.binary() if f == "rows" else pa.int64()) for f in fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *none], ["a", "b", *fields])
 
     def of_large(rows: np.ndarray, new: bool) -> Iterator[pa.RecordBatch]:
         nonlocal part
@@ -325,7 +336,7 @@ def _exact_pairs(keyed: DataFrame, large: int) -> DataFrame:
         for batch in batches:
             for same, one, other in zip(*(batch.column(c).to_pylist() for c in ("same", "one", "other")), strict=True):
                 one, other = (np.frombuffer(x, np.int64).reshape(-1, 3) for x in (one, other))
-                yield _batch(_all_pairs(one) if same else _all_pairs(one, other))
+                yield from _batches(_all_pairs(one) if same else _all_pairs(one, other))
 
     met = checkpointed(_ordered(keyed, large, meet, of_large, f"{_PAIRS}, {_PARTS}").distinct())
     parts = met.where("rows IS NOT NULL")

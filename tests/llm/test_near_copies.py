@@ -174,3 +174,16 @@ def test_cuts_change_no_link(spark):
         groups.append({(r.node, r.component) for r in labels.collect()})
     each.unpersist()
     assert groups[0] == groups[1]
+
+
+def test_pairs_are_passed_on_as_they_are_found(spark, monkeypatch):
+    """Texts of one bucket that are all alike give pairs in the square of their number; a task holds few of them."""
+    monkeypatch.setattr(near_copies, "HELD_PAIRS", 500)
+    rows = np.array([(1, n, 0, n) for n in range(100)], np.int64)
+    everything = set(combinations(range(100), 2))
+    for found in (near_copies._all_pairs(rows[:, 1:]), near_copies._small_pairs(rows)):
+        sizes, pairs = [], set()
+        for batch in near_copies._batches(found):
+            sizes.append(batch.num_rows)
+            pairs |= set(zip(*(batch.column(c).to_pylist() for c in "ab")))
+        assert pairs == everything and max(sizes) < 600
