@@ -17,7 +17,7 @@ and only hits are joined to the brands that use the word.
 A watchlist of few words is held against the tokens in one pass over the hosts. Words of a larger one go to the tasks in
 blocks of bounded size, broadcast one after the other, and each distinct token is matched once, however many hosts have it. Tokens
 with a hit, few of all, are then joined back to the hosts that have them; a token that very many hosts share is one row on its side of that join, and adaptive
-execution splits the hosts' side. Picking the best hit per host combines map-side, so a repeated host is no hot
+execution splits the hosts' side. Hits of a host are brought together once, in sets that combine map-side, so a repeated host is no hot
 key. Words of five to nine letters tolerate one to three edits, so cutting them into segments would leave pieces
 of one or two letters that nearly every label has: the length and the bit sets prune more.
 """
@@ -246,8 +246,26 @@ def word_hits(hosts: DataFrame, roles: DataFrame, block_words: int = BLOCK_WORDS
 def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All (host, watchlist term, technique) hits."""
     roles = term_roles(watchlist_terms(watch))
-    hits = word_hits(hosts, roles, block_words).join(roles, "word")
+    return _techniques(word_hits(hosts, roles, block_words), roles)
 
+
+def by_host(hits: DataFrame) -> DataFrame:
+    """``hits`` of ``word_hits`` brought together by host, so that what follows needs no further shuffle.
+
+    A host travels with its words, once, and not with every brand that uses one of them; of a token only its length does
+    (``token_len``). Sets combine map-side, so a repeated host is one row there.
+    """
+    carry = [c for c in hits.columns if c == CARRY]
+    hits = hits.withColumn("token_len", F.length("token")).drop("token")
+    each = [c for c in hits.columns if c not in ("domain", CARRY)]
+    gathered = hits.groupBy("domain").agg(F.collect_set(F.struct(*each)).alias("hits"), *[F.min(c).alias(c) for c in carry])
+    return gathered.select("domain", *carry, F.explode("hits").alias("h")).select("domain", *carry, "h.*")
+
+
+def _techniques(hits: DataFrame, roles: DataFrame) -> DataFrame:
+    """``match_candidates`` from the hits of ``word_hits`` or ``by_host``; the latter have no token."""
+    hits = hits.join(roles, "word")
+    token_len = F.col("token_len") if "token_len" in hits.columns else F.length("token")
     domain, distance = F.col("domain"), F.col("distance")
     kind, n = F.col("kind"), F.length("word")
     priority = (
@@ -260,7 +278,7 @@ def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOC
         F.greatest(*[domain.endswith(z) for z in ACADEMIC_ZONES]) & (n <= ACADEMIC_MAX_SHORT_TERM)
     )
     edit_score = F.bround(
-        F.greatest(F.lit(SCORE_EDIT_FLOOR), 1.0 - distance / F.greatest(n, F.length("token"))), 2
+        F.greatest(F.lit(SCORE_EDIT_FLOOR), 1.0 - distance / F.greatest(n, token_len)), 2
     )
     score = (
         F.when(F.col("priority") == KEYWORD, F.when(kind == RUN, SCORE_HYPHEN_LABEL).otherwise(SCORE_EXACT_LABEL))
@@ -272,9 +290,9 @@ def match_candidates(hosts: DataFrame, watch: DataFrame, block_words: int = BLOC
         hits.withColumn("priority", priority)
         .where(F.col("priority").isNotNull() & ~((F.col("priority") == KEYWORD) & guarded))
         .select(
-            "domain", "priority", "brand_idx", "term_idx", "raw_len", F.col("token"), F.col("idx").alias("label_idx"),
+            "domain", "priority", "brand_idx", "term_idx", "raw_len", F.col("idx").alias("label_idx"),
             (kind == RUN).alias("hyphen"), "distance", score.alias("similarity_score"),
-            *[c for c in hits.columns if c == CARRY],
+            *[c for c in hits.columns if c in ("token", CARRY)],
         )
     )
 
@@ -368,5 +386,7 @@ def find_similar(hosts: DataFrame, watch: DataFrame, block_words: int = BLOCK_WO
         hosts = hosts.select("domain", F.struct(*carry).alias(CARRY))
     else:
         hosts = hosts.select("domain")
-    best = without_official(best_match(match_candidates(hosts, watch, block_words), watch), watch)
+    roles = term_roles(watchlist_terms(watch))
+    candidates = _techniques(by_host(word_hits(hosts, roles, block_words)), roles)
+    best = without_official(best_match(candidates, watch), watch)
     return best.select("*", *[F.col(CARRY)[c].alias(c) for c in carry]).drop(CARRY) if carry else best

@@ -57,12 +57,13 @@ def registration_requests(hosts: DataFrame, rdap: DataFrame, bootstrap: DataFram
 def with_blacklist(hosts: DataFrame, blacklist: DataFrame, now: Column) -> DataFrame:
     """blacklist_status per host; stale or absent answers are ``unknown``."""
     ttl = F.when(F.col("status") == "listed", F.expr(TTL_LISTED)).otherwise(F.expr(TTL_NOT_LISTED))
-    fresh = F.col("checked_at") > now - ttl
-    answers = blacklist.select(clean_domain(F.col("domain")).alias("domain"), "status", "checked_at")
+    # what says no more than an absent answer need not travel to the hosts
+    telling = (F.col("checked_at") > now - ttl) & ~F.col("status").eqNullSafe(F.lit("unknown"))
+    answers = blacklist.where(telling).select(clean_domain(F.col("domain")).alias("domain"), "status", F.lit(True).alias("_met"))
     return (
         hosts.join(answers, "domain", "left")
-        .withColumn("blacklist_status", F.when(fresh, F.col("status")).otherwise("unknown"))
-        .drop("status", "checked_at")
+        .withColumn("blacklist_status", F.when(F.col("_met"), F.col("status")).otherwise("unknown"))
+        .drop("status", "_met")
     )
 
 

@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Insert-or-replace: the newest row per key. ``max_by`` combines map-side, so no hot key."""
+    """Insert-or-replace: the newest row per key. The maximum combines map-side, so no hot key.
+
+    ``order`` is shuffled once, in front of the other columns; only columns that have no order of their own stand behind it twice.
+    """
     rest = [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("v")).select(*keys, "v.*")
+    if any(kind in log.schema[c].dataType.simpleString() for c in rest for kind in ("map<", "variant")):
+        newest = F.max_by(F.struct(*rest), F.struct(*order))
+    else:
+        newest = F.max(F.struct(*order, *[c for c in rest if c not in order]))
+    return log.groupBy(*keys).agg(newest.alias("v")).select(*keys, *[F.col("v")[c].alias(c) for c in rest])
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

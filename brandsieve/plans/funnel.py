@@ -47,8 +47,11 @@ def brand_stage(ct_raw: DataFrame, watch: DataFrame) -> DataFrame:
 
 
 def technical_stage(stage1: DataFrame, rdap: DataFrame, blacklist: DataFrame, probes: DataFrame, now: Column) -> DataFrame:
-    """Stage 2: evidence columns and the ``escalated`` flag (established dead hosts are not)."""
-    rows = with_liveness(with_blacklist(with_registration(stage1, rdap, now), blacklist, now), probes)
+    """Stage 2: evidence columns and the ``escalated`` flag (established dead hosts are not).
+
+    The snapshots by host come first: the matches lie by host already and move but once, to their registrable domain.
+    """
+    rows = with_registration(with_liveness(with_blacklist(stage1, blacklist, now), probes), rdap, now)
     for c in ("registrar", "nameservers"):  # an answer without a date is no evidence
         rows = rows.withColumn(c, F.when(F.col("registration_date").isNotNull(), F.col(c)))
     rows = (
