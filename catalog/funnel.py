@@ -264,7 +264,7 @@ def p3_w2(i: Inputs):
     _STAGES,
 )
 def a3(i: Inputs):
-    return funnel.day_counters(i.ct_raw, tagged(i)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return funnel.day_counters(hosts_of(i), tagged(i)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 _EMPTY_DAY = "1970-01-01"
