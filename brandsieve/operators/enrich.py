@@ -67,6 +67,11 @@ def with_blacklist(hosts: DataFrame, blacklist: DataFrame, now: Column) -> DataF
     )
 
 
+def maybe_listed(log: DataFrame, now: Column) -> DataFrame:
+    """Looks at the blacklist that are not older than any answer may be; a host with none of them is ``unknown`` either way."""
+    return log.where(F.col("checked_at") > now - F.expr(TTL_LISTED))
+
+
 def with_liveness(hosts: DataFrame, probes: DataFrame) -> DataFrame:
     """last_status_code and is_live; a host never probed is not live."""
     return hosts.join(

@@ -194,7 +194,8 @@ def hosts_of(i: Inputs, *columns: str):
 
 
 def tagged(i: Inputs, *columns: str):
-    return funnel.run_funnel(hosts_of(i, *columns), i.watch, rdap(i), blacklist(i), probe(i), now())
+    listed = enrich.latest(enrich.maybe_listed(i.blacklist_log, now()), ["checked_at", *SEQ])
+    return funnel.run_funnel(hosts_of(i, *columns), i.watch, rdap(i), listed, probe(i), now())
 
 
 def _findings_sql(scored: str, at: str) -> str:
