@@ -248,9 +248,10 @@ _FIRST = ["first_seen", "registered_at", "registrar", "nameservers", "matched_br
 def p3_w2(i: Inputs):
     """Two runs of the funnel into one findings table: the earlier one over part of the hosts, that of now over all."""
     then = F.lit(EARLIER).cast("timestamp")
-    part = i.ct_raw.where(F.col("first_seen") < F.lit("1996-01-01").cast("timestamp"))
+    hosts = hosts_of(i, "not_before")
+    part = hosts.where(F.col("first_seen") < F.lit("1996-01-01").cast("timestamp"))
     old = funnel.run_funnel(part, i.watch, rdap(i), blacklist(i), probe(i), then)
-    new = funnel.run_funnel(i.ct_raw, i.watch, rdap(i), blacklist(i), probe(i), now())
+    new = funnel.run_funnel(hosts, i.watch, rdap(i), blacklist(i), probe(i), now())
     return funnel.upsert_findings(dated(funnel.findings(old, then)), dated(funnel.findings(new, now())))
 
 

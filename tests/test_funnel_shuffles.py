@@ -62,7 +62,7 @@ def test_answers_that_say_nothing_stay_at_home(spark):
     assert "LeftOuter" in join and not re.search(r"Project \[.*checked_at", planned(found))
 
 
-@pytest.mark.parametrize("query", [funnel.a3_w3, funnel.a3, funnel.p3])
+@pytest.mark.parametrize("query", [funnel.a3_w3, funnel.a3, funnel.p3, funnel.p3_w2])
 def test_hosts_travel_with_what_the_rows_need(spark, query):
     plan = planned(query(Inputs(spark, SF)))
     assert "min(source" not in plan
